@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import shutil
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on; all of them may be changed while a session runs.
@@ -33,21 +33,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators rely on to a session somebody else made."""
     for name, value in RUNTIME_CONF.items():
         spark.conf.set(name, value)
-    _ship_package(spark)
+    _ship_package()
     return spark
 
 
-def _ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, as ``--py-files`` would, once per application."""
-    context, package = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
-    if getattr(context, "_candlemill_shipped", False) or not os.path.isdir(package):
-        return
-    bundle = shutil.make_archive(
-        os.path.join(tempfile.mkdtemp(prefix="candlemill-"), "candlemill"),
-        "zip", os.path.dirname(package), os.path.basename(package),
-    )
-    context.addPyFile(bundle)
-    context._candlemill_shipped = True
+def _ship_package() -> None:
+    """Let Spark send this package's functions along with the tasks that call them, so that nothing
+    needs to be installed on the workers (nor for the driver-side worker of stateful streams)."""
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -54,13 +54,12 @@ def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             )
 
 
-def read_trades_zip(spark: SparkSession, path: str, tag_from_name: bool = False) -> DataFrame:
-    """Trades inside zip archives: many archives at once, unpacked by the tasks.
+def trades_in_archives(archives: DataFrame, tag_from_name: bool = False) -> DataFrame:
+    """Trades from rows of ``path`` and zip ``content``, unpacked where the rows are.
 
     One archive is one task's work, since a zip member cannot be entered in the middle; its lines leave
     the task in batches, and parsing them is Spark's own CSV parser with the same schema as plain files.
     """
-    archives = spark.read.format("binaryFile").load(path).select("path", "content")
     lines = archives.mapInArrow(_unzip, "path string, line string").where(F.length("line") > 0)
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TRADE.fields)
     trades = lines.select("path", F.from_csv("line", columns).alias("trade"))
@@ -68,6 +67,12 @@ def read_trades_zip(spark: SparkSession, path: str, tag_from_name: bool = False)
     return trades.select("trade.*", *[c.alias(n) for n, c in tags.items()])
 
 
+def read_trades_zip(spark: SparkSession, path: str, tag_from_name: bool = False) -> DataFrame:
+    """Trades inside zip archives, many archives at once."""
+    archives = spark.read.format("binaryFile").load(path).select("path", "content")
+    return trades_in_archives(archives, tag_from_name)
+
+
 def read_text_trades(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """All columns as text, for ``cast_trades``."""
     names = ", ".join(f"{n} string" for n in TRADE.names)
