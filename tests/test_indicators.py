@@ -1,0 +1,189 @@
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from candlemill.functions.columns import half_up as half_up_column
+from candlemill.operators import ema, ema_chunked, macd, rsi, sma, trend, with_trend
+from candlemill.operators.chunks import with_previous
+from helpers import (
+    bar, bars, by_bar, closes, half_up, in_order, slow_day_ema, slow_ema, slow_macd, slow_rsi, wave,
+)
+
+
+def test_sma_divides_by_the_rows_there_are_or_by_n(spark):
+    df = closes(spark, [7.0, 14.0, 21.0, 28.0, 35.0, 42.0, 49.0, 56.0])
+    assert in_order(sma(df), "sma7") == [7, 10.5, 14, 17.5, 21, 24.5, 28, 35]
+    assert in_order(sma(df, partial="full"), "ma7") == [1, 3, 6, 10, 15, 21, 28, 35]
+
+
+def test_windows_do_not_depend_on_the_chunks(spark):
+    # sparse buckets: several chunks lie empty between bars
+    values = wave(60)
+    rows = [bar("A", i * i, v, v) for i, v in enumerate(values)]
+    rows += [bar("B", i, v, v) for i, v in enumerate(wave(30, 2))]
+    df = bars(spark, rows).repartition(5)
+    want = by_bar(sma(df, digits=None), "sma7")
+    for span in (1, 3, 50):
+        assert by_bar(sma(df, digits=None, span=span), "sma7") == pytest.approx(want)
+    lags = {"p1": ("close_price", 1), "p2": ("close_price", 2)}
+    led = by_bar(with_previous(df, lags, span=4), "p1", "p2")
+    for i in range(60):
+        assert led[("A", i * i)] == (
+            values[i - 1] if i > 0 else None, values[i - 2] if i > 1 else None
+        )
+
+
+def test_averages_per_symbol_in_any_input_order(spark):
+    a, b = wave(120), wave(90, 5)
+    rows = [bar("A", i, v, v) for i, v in enumerate(a)]
+    rows += [bar("B", i, v, v) for i, v in enumerate(b)]
+    df = bars(spark, rows).orderBy(F.rand(3)).repartition(7)
+    for span in (10, 70, 4096):
+        got = ema(df, span=span)
+        for symbol, values in (("A", a), ("B", b)):
+            for period in (7, 20):
+                want = [half_up(v, 4) for v in slow_ema(values, period)]
+                assert in_order(got, f"ema{period}", symbol) == want
+
+
+def test_null_close_gives_null_and_keeps_the_state(spark):
+    values = wave(30)
+    holed = values[:12] + [None] + values[12:]
+    got = in_order(ema(closes(spark, holed)), "ema7")
+    assert got[12] is None
+    assert [v for i, v in enumerate(got) if i != 12] == [half_up(v, 4) for v in slow_ema(values, 7)]
+    # null must not turn into NaN, which would compare above everything
+    assert in_order(with_trend(closes(spark, holed), 4), "trend")[12] is None
+
+
+def test_zero_is_a_value(spark):
+    assert in_order(ema(closes(spark, [0.0] * 8)), "ema7")[6:] == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("n", [25, 26, 33, 34, 35])
+def test_macd_starts(spark, n):
+    got = by_bar(macd(closes(spark, wave(n))), "macd", "signal", "histogram")
+    line = [got[("A", i)][0] is not None for i in range(n)]
+    signal = [got[("A", i)][1] is not None for i in range(n)]
+    assert line == [i >= 25 for i in range(n)] and signal == [i >= 33 for i in range(n)]
+
+
+def test_macd_below_zero_is_cut_toward_zero(spark):
+    values = [100 - 0.37 * i for i in range(60)]
+    got = macd(closes(spark, values), span=70)
+    want = slow_macd(values)
+    for name, series in zip(("ema12", "ema26", "macd", "signal", "histogram"), want):
+        assert in_order(got, name) == [half_up(v, 2) for v in series]
+    assert in_order(got, "macd")[-1] < 0
+
+
+def test_macd_and_rsi_over_chunks(spark):
+    values = wave(400)
+    df = closes(spark, values)
+    for span in (30, 130):
+        assert in_order(rsi(df, span=span), "rsi6") == slow_rsi(values)
+        for name, series in zip(("macd", "signal", "histogram"), slow_macd(values)[2:]):
+            assert in_order(macd(df, span=span), name) == [half_up(v, 2) for v in series]
+
+
+def test_rounding_column(spark):
+    row = spark.range(1).select(
+        half_up_column(F.lit(-1.239), 2).alias("a"), half_up_column(F.lit(1.005), 2).alias("b"),
+        half_up_column(F.lit(None).cast("double"), 2).alias("c"),
+    ).first()
+    assert tuple(row) == (-1.23, half_up(1.005, 2), None)
+
+
+def test_start_at_first_value(spark):
+    got = in_order(ema(closes(spark, [10.0, 20.0, 30.0]), (7,), seed="first", digits=None), "ema7")
+    assert got == [10.0, 12.5, 16.875]
+
+
+def test_start_at_a_column(spark):
+    df = sma(closes(spark, wave(50)), partial="full")
+    whole = in_order(ema(df, (7,), seed="column", arithmetic="decimal", seed_column="ma7"), "ema7")
+    cut = ema(df, (7,), seed="column", arithmetic="decimal", seed_column="ma7", span=9)
+    assert whole[0] == in_order(df, "ma7")[0]
+    assert in_order(cut, "ema7") == whole
+
+
+def test_every_trade_of_a_hot_symbol(spark):
+    """Nine of ten trades in one symbol, many at one instant, more rows than a chunk holds."""
+    n = 2000
+    rows = [("hot" if i % 10 else "cold", i // 50, i, v) for i, v in enumerate(wave(n))]
+    df = spark.createDataFrame(rows, "symbol string, timestamp long, agg_trade_id long, price double")
+    got = {r.agg_trade_id: r.ema7 for r in ema_chunked(df.repartition(6), chunk_rows=150).collect()}
+    for symbol in ("hot", "cold"):
+        level = None
+        for s, _, i, v in rows:
+            if s == symbol:
+                level = v if level is None else 0.25 * v + 0.75 * level
+                assert got[i] == pytest.approx(level, rel=1e-12)
+    assert len(got) == n
+
+
+DAYS = {
+    date(2025, 10, 1): wave(25), date(2025, 10, 2): wave(10, 3), date(2025, 10, 4): wave(10, 4),
+    date(2025, 10, 5): wave(25, 5), date(2025, 10, 6): wave(1, 6), date(2025, 10, 7): wave(22, 7),
+}
+
+
+def by_day(spark, days, symbol="A"):
+    rows, i = [], 0
+    for day, values in days.items():
+        for v in values:
+            rows.append(bar(symbol, i, v, v, day=day))
+            i += 1
+    return bars(spark, rows)
+
+
+def flat(days):
+    return [v for day in sorted(days) for v in days[day]]
+
+
+def test_day_scope_carries_the_rounded_end_of_the_day_before(spark):
+    got = ema(by_day(spark, DAYS).repartition(3), scope="day")
+    for period in (7, 20):
+        assert in_order(got, f"ema{period}") == flat(slow_day_ema(DAYS, period))
+
+
+def test_unfinished_warm_up_is_lost_overnight_but_not_in_continuous_scope(spark):
+    days = {date(2025, 10, 1): wave(10), date(2025, 10, 2): wave(25, 2)}
+    df = by_day(spark, days)
+    assert in_order(ema(df, scope="day"), "ema20")[10:29] == [None] * 19
+    assert in_order(ema(df), "ema20")[19] is not None
+
+
+def test_null_last_close_of_a_day_stops_the_carry(spark):
+    days = {date(2025, 10, 1): wave(24) + [None], date(2025, 10, 2): wave(9, 2)}
+    got = in_order(ema(by_day(spark, days), scope="day"), "ema7")
+    assert got == flat(slow_day_ema(days, 7)) and got[25:31] == [None] * 6
+
+
+def test_stored_previous_day(spark):
+    """A second run that is given what the first stored equals one run over both days."""
+    days = sorted(DAYS)
+    df = by_day(spark, DAYS)
+    whole = by_bar(ema(df, scope="day"), "ema7", "ema20")
+    for cut in range(1, len(days)):
+        early = df.where(F.col("landing_date") < F.lit(days[cut]))
+        late = df.where(F.col("landing_date") >= F.lit(days[cut]))
+        got = by_bar(ema(late, scope="day", previous=ema(early, scope="day")), "ema7", "ema20")
+        assert got == {k: v for k, v in whole.items() if k in got} and len(got) == late.count()
+
+
+def test_trend(spark):
+    df = spark.createDataFrame(
+        [(2.0, 1.0), (1.0, 2.0), (1.0, 1.0), (None, 1.0)], "ema7 double, ema20 double"
+    )
+    assert [r.trend for r in trend(df).collect()] == ["uptrend", "downtrend", None, None]
+
+
+def test_no_step_gathers_a_whole_key_of_bars(spark):
+    """Rows of bars are only ever shuffled by (key, chunk)."""
+    plan = ema(closes(spark, wave(30)))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    by_symbol_only = [p for p in plan.split("Exchange ")[1:] if p.startswith("hashpartitioning(symbol#")
+                      and "_chunk" not in p.split("\n")[0]]
+    assert len(by_symbol_only) == 1  # the summaries
