@@ -40,7 +40,7 @@ class Average:
     def run(self, values, count, level):
         out, period, k = [], self.period, self.k
         for x in values:
-            if missing(x):
+            if x is None or x != x:
                 out.append(None)
             elif count >= period:
                 level = (x - level) * k + level

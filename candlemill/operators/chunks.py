@@ -30,7 +30,7 @@ def bucket_chunk(order: str = "group_id", span: int = SPAN) -> Column:
 
 
 def range_chunks(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int = 1_000_000
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int = 100_000
 ) -> DataFrame:
     """Cut rows of any density (ticks, say) into chunks of about ``chunk_rows`` rows.
 
@@ -58,13 +58,19 @@ def with_halo(
     least one bar, so their last bars together always suffice.
     """
     own = bars.withColumns({CHUNK: bucket_chunk(order, span), HALO: F.lit(False)})
-    newest = lambda found: F.slice(F.sort_array(found, asc=False), 1, rows)
-    last = newest(F.collect_list(F.struct(order, *columns))).alias("_last")
-    tails = own.groupBy(*keys, CHUNK).agg(last)
+    # Ranking under a limit is cut on the map side: a task passes on at most ``rows`` rows per chunk.
+    from_end = Window.partitionBy(*keys, CHUNK).orderBy(F.col(order).desc())
+    ends = (
+        own.select(*keys, CHUNK, order, *columns)
+        .withColumn("_from_end", F.row_number().over(from_end))
+        .where(F.col("_from_end") <= rows)
+    )
+    tails = ends.groupBy(*keys, CHUNK).agg(F.collect_list(F.struct(order, *columns)).alias("_tail"))
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(-rows, -1)
-    halo = tails.select(
-        *keys, CHUNK, newest(F.flatten(F.collect_list("_last").over(before))).alias("_before")
-    ).select(*keys, CHUNK, F.inline("_before"), F.lit(True).alias(HALO))
+    newest_first = F.sort_array(F.flatten(F.collect_list("_tail").over(before)), asc=False)
+    halo = tails.select(*keys, CHUNK, F.slice(newest_first, 1, rows).alias("_before")).select(
+        *keys, CHUNK, F.inline("_before"), F.lit(True).alias(HALO)
+    )
     return own.unionByName(halo, allowMissingColumns=True)
 
 

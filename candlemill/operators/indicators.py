@@ -130,7 +130,7 @@ def ema_chunked(
     keys: Sequence[str] = ("symbol",),
     order: Sequence[str] = ("timestamp", "agg_trade_id"),
     seed: str = "first",
-    chunk_rows: int = 1_000_000,
+    chunk_rows: int = 100_000,
 ) -> DataFrame:
     """Exponential average over rows of any density, such as every single trade.
 

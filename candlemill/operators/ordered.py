@@ -4,7 +4,10 @@
 2. per key the summaries, one row per chunk, are applied in order: the state every chunk starts with;
 3. each chunk is replayed from its own starting state, row by row, exactly as one long pass would.
 
-Steps 1 and 3 see one chunk at a time (bounded, see ``chunks``); step 2 sees summaries only.
+Steps 1 and 3 see one chunk at a time (bounded, see ``chunks``); step 2 sees summaries only. A chunk is
+one row holding an array of its bars, and only the arrays of the value itself visit Python: the other
+columns stay in the JVM.
+
 The input is read twice, so callers hand in a stored or staged table.
 """
 
@@ -12,7 +15,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,15 +27,36 @@ from candlemill.functions.recurrences import missing
 from candlemill.operators.chunks import CHUNK
 
 
-def _values(table: pa.Table, columns: Sequence[str]) -> list:
-    lists = [table.column(c).to_pylist() for c in columns]
-    return lists[0] if len(lists) == 1 else list(zip(*lists))
+def _offsets(lists: pa.ListArray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+
+
+def _series(*columns: pa.ListArray) -> tuple[list[list], np.ndarray]:
+    """The values of each chunk (pairs, for two columns), null as NaN; and where chunks start."""
+    offsets = _offsets(columns[0])
+    flat = [c.flatten().to_numpy(zero_copy_only=False).tolist() for c in columns]
+    values = flat[0] if len(flat) == 1 else list(zip(*flat))
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])], offsets
 
 
 def _absent(value) -> bool:
     return missing(value[0] if isinstance(value, tuple) else value)
 
 
+def _over_arrays(function: Callable, inputs: int, result: T.DataType):
+    """``function`` as an Arrow UDF of one, two or three array columns."""
+    def one(a: pa.Array) -> pa.Array:
+        return function(a)
+
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return function(a, b)
+
+    def three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        return function(a, b, c)
+
+    return F.arrow_udf({1: one, 2: two, 3: three}[inputs], result)
+
+
 def scan(
     df: DataFrame,
     recurrence,
@@ -45,52 +71,54 @@ def scan(
     """``df`` with one column per output of ``recurrence``, run over ``values`` in ``order``.
 
     ``chunk`` numbers the chunks of a key in its order (a ``CHUNK`` column already there goes before
-    it, and is dropped from the result). ``between(state, last_was_null, earlier,
-    later)`` may change the state from one chunk to the next. ``given`` holds end states known from
-    before: keys, ``CHUNK`` and ``_state``.
+    it, and is dropped from the result). ``between(state, last_was_null, earlier, later)`` may change
+    the state from one chunk to the next. ``given`` holds end states known from before: keys, ``CHUNK``
+    and ``_state``.
     """
-    keys, order = list(keys), list(order)
+    keys, order, several = list(keys), list(order), len(values) > 1
     cell = T.DoubleType() if recurrence.state_type == "double" else T.StringType()
     numbers = T.ArrayType(cell)
-    key_fields = [df.schema[k] for k in keys]
-    where = [*key_fields, T.StructField(CHUNK, T.LongType())]
-    pa_cell = to_arrow_type(cell)
-    pa_numbers, in_order = pa.list_(pa_cell), [(c, "ascending") for c in order]
-    several = len(values) > 1
-
-    summary_schema = T.StructType([
-        *where,
-        T.StructField("_head", T.ArrayType(T.DoubleType())),
-        T.StructField("_head_start", T.ArrayType(T.DoubleType())),
-        T.StructField("_rest", numbers),
-        T.StructField("_last_null", T.BooleanType()),
-        T.StructField("_state", numbers),
-    ])
-
-    def summarise(table: pa.Table) -> pa.Table:
-        table = table.sort_by(in_order)
-        found = _values(table, values)
-        present = [v for v in found if not _absent(v)]
-        head, tail = present[: recurrence.head], present[recurrence.head :]
-        rest = recurrence.rest(tail, head[-1]) if tail else None
-        first = table.slice(0, 1)
-        columns = {c: first.column(c) for c in (*keys, CHUNK)}
-        plain = pa.list_(pa.float64())
-        columns["_head"] = pa.array([[v[0] for v in head] if several else head], type=plain)
-        columns["_head_start"] = pa.array([[v[1] for v in head] if several else None], type=plain)
-        columns["_rest"] = pa.array([rest], type=pa_numbers)
-        columns["_last_null"] = pa.array([_absent(found[-1])])
-        columns["_state"] = pa.array([None], type=pa_numbers)
-        return pa.table(columns)
-
-    starts_schema = T.StructType([*where, T.StructField("_start", numbers)])
+    cut = df if CHUNK in df.columns else df.withColumn(CHUNK, chunk.cast("long"))
+    columns = [c for c in df.columns if c != CHUNK]
+    group = [*keys, CHUNK]
+
+    # 1. one summary per chunk
+    doubles = T.ArrayType(T.DoubleType())
+    summary_type = (
+        T.StructType().add("_head", doubles).add("_head_start", doubles).add("_rest", numbers)
+        .add("_last_null", T.BooleanType()).add("_state", numbers)
+    )
 
+    def summarise(*lists: pa.ListArray) -> pa.Array:
+        found = []
+        for series in _series(*lists)[0]:
+            present = [v for v in series if not _absent(v)]
+            head, tail = present[: recurrence.head], present[recurrence.head :]
+            found.append({
+                "_head": [v[0] for v in head] if several else head,
+                "_head_start": [v[1] for v in head] if several else None,
+                "_rest": recurrence.rest(tail, head[-1]) if tail else None,
+                "_last_null": _absent(series[-1]),
+                "_state": None,
+            })
+        return pa.array(found, type=to_arrow_type(summary_type))
+
+    packed_values = cut.groupBy(*group).agg(
+        F.sort_array(F.collect_list(F.struct(*order, *values))).alias("_values")
+    )
+    arrays = [F.col(f"_values.{v}") for v in values]
+    summary = _over_arrays(summarise, len(values), summary_type)(*arrays).alias("_summary")
+    summaries = packed_values.select(*group, summary).select(*group, "_summary.*")
+    if given is not None:
+        known = given.withColumn("_last_null", F.lit(False))
+        summaries = summaries.unionByName(known, allowMissingColumns=True)
+
+    # 2. the state each chunk starts with
     def start_states(table: pa.Table) -> pa.Table:
         table = table.sort_by([(CHUNK, "ascending")])
         starts, state, last_null, previous = [], recurrence.start(), False, None
         for chunk_no, head, head_start, rest, ends_null, known in zip(
-            *[table.column(c).to_pylist() for c in
-              (CHUNK, "_head", "_head_start", "_rest", "_last_null", "_state")]
+            *[table.column(c).to_pylist() for c in (CHUNK, *summary_type.names)]
         ):
             if between is not None and previous is not None:
                 state = between(state, last_null, previous, chunk_no)
@@ -102,34 +130,48 @@ def scan(
                 if rest is not None:
                     state = recurrence.after(state, rest)
             last_null, previous = ends_null, chunk_no
-        return table.select([*keys, CHUNK]).append_column(
-            "_start", pa.array(starts, type=pa_numbers)
+        return table.select(group).append_column(
+            "_start", pa.array(starts, type=to_arrow_type(numbers))
         )
 
-    kept_fields = [f for f in df.schema.fields if f.name != CHUNK]
-    kept = [f.name for f in kept_fields]
-    out_schema = T.StructType(kept_fields + [T.StructField(n, t) for n, t in outputs.items()])
-    out_types = [to_arrow_type(t) for t in outputs.values()]
+    starts_type = T.StructType([cut.schema[c] for c in group]).add("_start", numbers)
+    starts = summaries.groupBy(*keys).applyInArrow(start_states, starts_type)
 
-    def replay(table: pa.Table, starts: pa.Table) -> pa.Table:
-        table = table.sort_by(in_order)
-        state = starts.column("_start")[0].as_py() if starts.num_rows else recurrence.start()
-        results, _ = recurrence.run(_values(table, values), state)
-        table = table.select(kept)
-        for name, kind, result in zip(outputs, out_types, results):
-            table = table.append_column(name, pa.array(result, type=kind))
-        return table
+    # 3. each chunk from its state; the state joins its chunk's rows as one more row of the group
+    replay_type = T.StructType(
+        [T.StructField(n, T.ArrayType(t)) for n, t in outputs.items()]
+    )
 
-    cut = df if CHUNK in df.columns else df.withColumn(CHUNK, chunk.cast("long"))
-    needed = list(dict.fromkeys([*keys, CHUNK, *order, *values]))
-    summaries = cut.select(*needed).groupBy(*keys, CHUNK).applyInArrow(summarise, summary_schema)
-    if given is not None:
-        summaries = summaries.unionByName(
-            given.withColumn("_last_null", F.lit(False)), allowMissingColumns=True
-        )
-    starts = summaries.groupBy(*keys).applyInArrow(start_states, starts_schema)
-    return (
-        cut.groupBy(*keys, CHUNK)
-        .cogroup(starts.groupBy(*keys, CHUNK))
-        .applyInArrow(replay, out_schema)
+    def replay(*lists: pa.Array) -> pa.Array:
+        *lists, start = lists
+        series, offsets = _series(*lists)
+        flat = [[] for _ in outputs]
+        for one, state in zip(series, start.to_pylist()):
+            results, _ = recurrence.run(one, state)
+            for column, result in zip(flat, results):
+                column.extend(result)
+        where = pa.array(offsets, type=pa.int32())
+        found = [
+            pa.ListArray.from_arrays(where, pa.array(column, type=to_arrow_type(kind)))
+            for column, kind in zip(flat, outputs.values())
+        ]
+        return pa.StructArray.from_arrays(found, names=list(outputs))
+
+    row = F.struct(*order, *[c for c in columns if c not in (*keys, *order)])
+    rows = cut.select(*group, row.alias("_row"), F.lit(None).cast(numbers).alias("_start"))
+    marks = starts.select(
+        *group, F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_start"
+    )
+    chunks = rows.unionByName(marks).groupBy(*group).agg(
+        F.sort_array(F.collect_list("_row")).alias("_rows"),
+        F.first("_start", ignorenulls=True).alias("_start"),
+    ).where(F.size("_rows") > 0)
+    arrays = [F.col(f"_rows.{v}") for v in values]
+    found = _over_arrays(replay, len(values) + 1, replay_type)(*arrays, F.col("_start"))
+    spread = chunks.withColumn("_found", found).select(
+        *keys, "_found", F.posexplode("_rows").alias("_at", "_row")
+    )
+    return spread.select(
+        *[F.col(c) if c in keys else F.col(f"_row.{c}") for c in columns],
+        *[F.col(f"_found.{n}")[F.col("_at")].alias(n) for n in outputs],
     )

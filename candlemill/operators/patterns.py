@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlemill.functions.columns import half_up
-from candlemill.operators.chunks import SPAN, with_previous
+from candlemill.operators.chunks import CHUNK, SPAN, chunk_window, with_previous
 from candlemill.operators.indicators import ema, trend
 
 AVERAGES = ["ema7", "ema20"]
@@ -62,8 +62,10 @@ def pattern_two(
     """
     lags = {"_prev_open": ("open_price", 1), "_prev_close": ("close_price", 1)}
     if scope == "day":
-        day = Window.partitionBy("symbol", "landing_date").orderBy("group_id")
-        led = bars.withColumns({n: F.lag(c, k).over(day) for n, (c, k) in lags.items()})
+        # the day is also the chunk its averages are computed in, so rows are brought together once
+        by_day = bars.withColumn(CHUNK, F.unix_date("landing_date").cast("long"))
+        w = chunk_window()
+        led = by_day.withColumns({n: F.lag(c, k).over(w) for n, (c, k) in lags.items()})
     else:
         led = with_previous(bars, lags, span=span)
     df = with_trend(led, digits, on, scope, span=span, previous=previous)

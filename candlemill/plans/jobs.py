@@ -42,7 +42,8 @@ def transform(spark: SparkSession, root: str, start=None, end=None,
               unit: str = "us", ids_follow_time: bool = False) -> None:
     """Landed trades to the trade table and to bars, for every symbol and day at once."""
     landed = between_dates(spark.read.parquet(f"{root}/{LANDING}"), start, end, symbols)
-    upsert_partitions(tag_run(add_time_bucket(landed, interval_s, unit)), f"{root}/{TRADES}")
+    bucketed = tag_run(add_time_bucket(landed, interval_s, unit))
+    upsert_partitions(bucketed, f"{root}/{TRADES}", together=False)
     trades = between_dates(spark.read.parquet(f"{root}/{TRADES}"), start, end, symbols)
     bars = klines(trades, interval_s, ("landing_date", "symbol"), unit=unit,
                   ids_follow_time=ids_follow_time)

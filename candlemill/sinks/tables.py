@@ -14,18 +14,24 @@ def _together(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.hint("rebalance", *keys)
 
 
-def upsert_partitions(df: DataFrame, path: str, keys: Sequence[str] = PARTITIONS) -> None:
-    """Replace the partitions ``df`` has rows for, and leave the others as they are."""
+def upsert_partitions(
+    df: DataFrame, path: str, keys: Sequence[str] = PARTITIONS, together: bool = True
+) -> None:
+    """Replace the partitions ``df`` has rows for, and leave the others as they are.
+
+    ``together=False`` writes rows from where they are. It is for input that already lies by partition
+    (files per symbol and day), where moving every row would cost a shuffle and gain nothing.
+    """
+    rows = _together(df, keys) if together else df
     (
-        _together(df, keys).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys).parquet(path)
     )
 
 
 def write_landing(df: DataFrame, root: str, keys: Sequence[str] = PARTITIONS) -> None:
     """Landed trades by symbol and day; landing a day again replaces that day."""
-    upsert_partitions(df, root, keys)
+    upsert_partitions(df, root, keys, together=False)
 
 
 def replace_table(df: DataFrame, name: str, mode: str = "overwrite") -> None:
