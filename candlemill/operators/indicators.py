@@ -69,6 +69,7 @@ def ema(
     order: str = "group_id",
     span: int = SPAN,
     previous: DataFrame | None = None,
+    lags: dict[str, tuple[str, int]] | None = None,
 ) -> DataFrame:
     """Exponential averages ``ema<n>``.
 
@@ -79,6 +80,9 @@ def ema(
     ``scope="continuous"`` runs through all rows of a key. ``scope="day"`` starts every
     ``landing_date`` from the rounded average of the last bar of the day before, or afresh if that
     day is missing or ended without one; ``previous`` holds such rows stored by an earlier run.
+
+    ``lags`` (``name: (column, k)``) also adds values of ``k`` bars earlier: of the same day in the day
+    scope.
     """
     names = [f"ema{n}" for n in periods]
     if arithmetic == "decimal":
@@ -91,7 +95,9 @@ def ema(
     outputs = {n: T.DoubleType() for n in names}
     averages = Averages(periods, seed)
     if scope == "continuous":
-        raw = scan(bars, averages, [value], outputs, bucket_chunk(order, span), keys, [order])
+        raw = scan(
+            bars, averages, [value], outputs, bucket_chunk(order, span), keys, [order], lags=lags
+        )
         return _rounded(raw, names, digits)
     if scope != "day" or seed != "sma" or digits is None:
         raise ValueError("the day scope carries rounded, mean-started averages")
@@ -118,7 +124,7 @@ def ema(
         )
     raw = scan(
         bars, averages, [value], outputs, F.unix_date("landing_date"), keys, [order],
-        between=overnight, given=given,
+        between=overnight, given=given, lags=lags, lags_over_chunks=False,
     )
     return _rounded(raw, names, digits)
 

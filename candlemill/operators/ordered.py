@@ -67,6 +67,8 @@ def scan(
     order: Sequence[str] = ("group_id",),
     between: Callable | None = None,
     given: DataFrame | None = None,
+    lags: dict[str, tuple[str, int]] | None = None,
+    lags_over_chunks: bool = True,
 ) -> DataFrame:
     """``df`` with one column per output of ``recurrence``, run over ``values`` in ``order``.
 
@@ -74,7 +76,13 @@ def scan(
     it, and is dropped from the result). ``between(state, last_was_null, earlier, later)`` may change
     the state from one chunk to the next. ``given`` holds end states known from before: keys, ``CHUNK``
     and ``_state``.
+
+    ``lags`` adds ``name: (column, k)``, the column's value ``k`` rows earlier, which costs next to
+    nothing here: it is in the same array, or among the few last rows of the chunks before (unless
+    ``lags_over_chunks`` is false).
     """
+    lags = lags or {}
+    depth = max([k for _, k in lags.values()], default=0) if lags_over_chunks else 0
     keys, order, several = list(keys), list(order), len(values) > 1
     cell = T.DoubleType() if recurrence.state_type == "double" else T.StringType()
     numbers = T.ArrayType(cell)
@@ -88,6 +96,8 @@ def scan(
         T.StructType().add("_head", doubles).add("_head_start", doubles).add("_rest", numbers)
         .add("_last_null", T.BooleanType()).add("_state", numbers)
     )
+    lagged = list(dict.fromkeys(c for c, _ in lags.values()))
+    tail_type = T.ArrayType(T.StructType([cut.schema[c] for c in lagged]))
 
     def summarise(*lists: pa.ListArray) -> pa.Array:
         found = []
@@ -104,11 +114,19 @@ def scan(
         return pa.array(found, type=to_arrow_type(summary_type))
 
     packed_values = cut.groupBy(*group).agg(
-        F.sort_array(F.collect_list(F.struct(*order, *values))).alias("_values")
+        F.sort_array(
+            F.collect_list(F.struct(*order, *dict.fromkeys([*values, *(lagged if depth else [])])))
+        ).alias("_values")
     )
     arrays = [F.col(f"_values.{v}") for v in values]
     summary = _over_arrays(summarise, len(values), summary_type)(*arrays).alias("_summary")
-    summaries = packed_values.select(*group, summary).select(*group, "_summary.*")
+    tail = F.lit(None).cast(tail_type)
+    if depth:
+        last = F.slice("_values", F.greatest(F.size("_values") - (depth - 1), F.lit(1)), F.lit(depth))
+        tail = F.transform(last, lambda row: F.struct(*[row[c].alias(c) for c in lagged]))
+    summaries = packed_values.select(*group, summary, tail.alias("_tail")).select(
+        *group, "_summary.*", "_tail"
+    )
     if given is not None:
         known = given.withColumn("_last_null", F.lit(False))
         summaries = summaries.unionByName(known, allowMissingColumns=True)
@@ -117,9 +135,12 @@ def scan(
     def start_states(table: pa.Table) -> pa.Table:
         table = table.sort_by([(CHUNK, "ascending")])
         starts, state, last_null, previous = [], recurrence.start(), False, None
-        for chunk_no, head, head_start, rest, ends_null, known in zip(
-            *[table.column(c).to_pylist() for c in (CHUNK, *summary_type.names)]
+        befores, before = [], []
+        for chunk_no, head, head_start, rest, ends_null, known, last_rows in zip(
+            *[table.column(c).to_pylist() for c in (CHUNK, *summary_type.names, "_tail")]
         ):
+            befores.append(before)
+            before = (before + (last_rows or []))[-depth:] if depth else before
             if between is not None and previous is not None:
                 state = between(state, last_null, previous, chunk_no)
             starts.append(state)
@@ -130,11 +151,13 @@ def scan(
                 if rest is not None:
                     state = recurrence.after(state, rest)
             last_null, previous = ends_null, chunk_no
-        return table.select(group).append_column(
-            "_start", pa.array(starts, type=to_arrow_type(numbers))
-        )
+        table = table.select(group)
+        table = table.append_column("_start", pa.array(starts, type=to_arrow_type(numbers)))
+        return table.append_column("_before", pa.array(befores, type=to_arrow_type(tail_type)))
 
-    starts_type = T.StructType([cut.schema[c] for c in group]).add("_start", numbers)
+    starts_type = (
+        T.StructType([cut.schema[c] for c in group]).add("_start", numbers).add("_before", tail_type)
+    )
     starts = summaries.groupBy(*keys).applyInArrow(start_states, starts_type)
 
     # 3. each chunk from its state; the state joins its chunk's rows as one more row of the group
@@ -158,20 +181,25 @@ def scan(
         return pa.StructArray.from_arrays(found, names=list(outputs))
 
     row = F.struct(*order, *[c for c in columns if c not in (*keys, *order)])
-    rows = cut.select(*group, row.alias("_row"), F.lit(None).cast(numbers).alias("_start"))
-    marks = starts.select(
-        *group, F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_start"
-    )
-    chunks = rows.unionByName(marks).groupBy(*group).agg(
+    rows = cut.select(*group, row.alias("_row"))
+    chunks = rows.unionByName(starts, allowMissingColumns=True).groupBy(*group).agg(
         F.sort_array(F.collect_list("_row")).alias("_rows"),
         F.first("_start", ignorenulls=True).alias("_start"),
+        F.first("_before", ignorenulls=True).alias("_before"),
     ).where(F.size("_rows") > 0)
     arrays = [F.col(f"_rows.{v}") for v in values]
     found = _over_arrays(replay, len(values) + 1, replay_type)(*arrays, F.col("_start"))
     spread = chunks.withColumn("_found", found).select(
-        *keys, "_found", F.posexplode("_rows").alias("_at", "_row")
+        *keys, "_found", "_rows", "_before", F.posexplode("_rows").alias("_at", "_row")
     )
+    at = F.col("_at")
+
+    def lag(column: str, k: int) -> Column:
+        here = F.when(at >= k, F.col("_rows")[F.greatest(at - k, F.lit(0))][column])
+        return here.otherwise(F.try_element_at("_before", at - k)[column]) if depth else here
+
     return spread.select(
         *[F.col(c) if c in keys else F.col(f"_row.{c}") for c in columns],
-        *[F.col(f"_found.{n}")[F.col("_at")].alias(n) for n in outputs],
+        *[lag(c, k).alias(n) for n, (c, k) in lags.items()],
+        *[F.col(f"_found.{n}")[at].alias(n) for n in outputs],
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlemill.functions.columns import half_up
-from candlemill.operators.chunks import CHUNK, SPAN, chunk_window, with_previous
+from candlemill.operators.chunks import SPAN
 from candlemill.operators.indicators import ema, trend
 
 AVERAGES = ["ema7", "ema20"]
@@ -22,14 +22,17 @@ def with_trend(
     keys: Sequence[str] = ("symbol",),
     span: int = SPAN,
     previous: DataFrame | None = None,
+    lags: dict[str, tuple[str, int]] | None = None,
 ) -> DataFrame:
-    """Bars with ema7, ema20 and trend. ``on="raw"`` compares the averages before rounding them."""
+    """Bars with ema7, ema20 and trend (and ``lags``, as in ``ema``). ``on="raw"`` compares the averages before rounding them."""
     if on == "raw":
         if scope == "day":
             raise ValueError("the day scope carries rounded averages; use on='rounded'")
-        df = trend(ema(bars, digits=None, keys=keys, span=span))
+        df = trend(ema(bars, digits=None, keys=keys, span=span, lags=lags))
         return df.withColumns({n: half_up(n, digits) for n in AVERAGES})
-    return trend(ema(bars, scope=scope, digits=digits, keys=keys, span=span, previous=previous))
+    return trend(
+        ema(bars, scope=scope, digits=digits, keys=keys, span=span, previous=previous, lags=lags)
+    )
 
 
 def pattern_one(bars: DataFrame, digits: int = 2, span: int = SPAN) -> DataFrame:
@@ -61,14 +64,7 @@ def pattern_two(
     In the day scope a day's first bar has no bar before it.
     """
     lags = {"_prev_open": ("open_price", 1), "_prev_close": ("close_price", 1)}
-    if scope == "day":
-        # the day is also the chunk its averages are computed in, so rows are brought together once
-        by_day = bars.withColumn(CHUNK, F.unix_date("landing_date").cast("long"))
-        w = chunk_window()
-        led = by_day.withColumns({n: F.lag(c, k).over(w) for n, (c, k) in lags.items()})
-    else:
-        led = with_previous(bars, lags, span=span)
-    df = with_trend(led, digits, on, scope, span=span, previous=previous)
+    df = with_trend(bars, digits, on, scope, span=span, previous=previous, lags=lags)
     return df.withColumn("pattern", engulfing()).drop(*lags)
 
 
@@ -90,7 +86,7 @@ def pattern_three(bars: DataFrame, digits: int = 2, span: int = SPAN) -> DataFra
         "_o2": ("open_price", 1), "_c2": ("close_price", 1),
         "_h2": ("high_price", 1), "_l2": ("low_price", 1),
     }
-    df = with_trend(with_previous(bars, lags, span=span), digits, span=span)
+    df = with_trend(bars, digits, span=span, lags=lags)
     o1, c1, o2, c2, h2, l2 = (F.col(n) for n in lags)
     o3, c3 = F.col("open_price"), F.col("close_price")
     middle, half = F.abs(c2 - o2), (o1 + c1) / 2
