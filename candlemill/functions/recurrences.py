@@ -106,6 +106,11 @@ class Averages:
     def rest(self, values, last=None):
         return [n for part in self.parts for n in part.rest(values)]
 
+    def then(self, first, second):
+        """The rest that ``first`` and then ``second`` amount to."""
+        pairs = zip(first[::2], first[1::2], second[::2], second[1::2])
+        return [n for a1, b1, a2, b2 in pairs for n in (a1 * a2, a2 * b1 + b2)]
+
     def after(self, state, rest):
         end = list(state)
         for i in range(len(self.parts)):

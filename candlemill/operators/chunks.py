@@ -21,6 +21,8 @@ from candlemill.functions.columns import floor_div
 from candlemill.session import stage
 
 SPAN = 4096
+BLOCK = 1024
+MAX_PIECES = 20_000
 CHUNK = "_chunk"
 HALO = "_halo"
 
@@ -32,15 +34,20 @@ def bucket_chunk(order: str = "group_id", span: int = SPAN) -> Column:
 def range_chunks(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int = 100_000
 ) -> DataFrame:
-    """Cut rows of any density (ticks, say) into chunks of about ``chunk_rows`` rows.
+    """Cut rows of any density (ticks, say) into chunks of at most ``chunk_rows`` rows.
 
-    A range partition over (keys, order) splits a hot key and keeps each chunk a stretch of the
-    order. The cut depends on a sample, so the result is written before it is used: every later pass,
-    and every retry, sees the same chunks.
+    A range partition over (keys, order) splits a hot key; within a sorted partition rows are counted
+    off. The cut depends on a sample, so the result is written before it is used: every later pass, and
+    every retry, sees the same chunks.
     """
-    pieces = max(1, ceil(df.count() / chunk_rows))
-    cut = df.repartitionByRange(pieces, *keys, *order)
-    return stage(cut.withColumn(CHUNK, F.spark_partition_id().cast("long")), "chunks")
+    pieces = min(max(1, ceil(df.count() / (4 * chunk_rows))), MAX_PIECES)
+    cut = df.repartitionByRange(pieces, *keys, *order).sortWithinPartitions(*keys, *order)
+    return stage(cut.withColumn(CHUNK, floor_div(F.monotonically_increasing_id(), chunk_rows)), "chunks")
+
+
+def chunk_block() -> Column:
+    """Number of the block of ``BLOCK`` consecutive chunk numbers a chunk belongs to."""
+    return floor_div(CHUNK, BLOCK)
 
 
 def with_halo(

@@ -20,6 +20,7 @@ from candlemill.operators.chunks import (
     CHUNK,
     SPAN,
     bucket_chunk,
+    chunk_block,
     chunk_window,
     range_chunks,
     with_halo,
@@ -141,12 +142,12 @@ def ema_chunked(
     """Exponential average over rows of any density, such as every single trade.
 
     Chunks are cut by row count, so one key with most of the rows, or many rows at one instant, is
-    spread over the cluster all the same.
+    spread over the cluster all the same; and their summaries are gathered in two levels.
     """
     cut = range_chunks(rows, keys, order, chunk_rows)
     return scan(
         cut, Averages([period], seed), [value], {f"ema{period}": T.DoubleType()},
-        F.col(CHUNK), keys, order,
+        F.col(CHUNK), keys, order, block=chunk_block(),
     )
 
 

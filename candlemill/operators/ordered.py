@@ -4,6 +4,9 @@
 2. per key the summaries, one row per chunk, are applied in order: the state every chunk starts with;
 3. each chunk is replayed from its own starting state, row by row, exactly as one long pass would.
 
+Where a key may have millions of chunks, step 2 has two levels: blocks of chunks are summarised in their
+turn, and only the blocks of a key are applied one after the other.
+
 Steps 1 and 3 see one chunk at a time (bounded, see ``chunks``); step 2 sees summaries only. A chunk is
 one row holding an array of its bars, and only the arrays of the value itself visit Python: the other
 columns stay in the JVM.
@@ -26,6 +29,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from candlemill.functions.recurrences import missing
 from candlemill.operators.chunks import CHUNK
 
+BLOCK_NO = "_block"
+
 
 def _offsets(lists: pa.ListArray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
@@ -69,6 +74,7 @@ def scan(
     given: DataFrame | None = None,
     lags: dict[str, tuple[str, int]] | None = None,
     lags_over_chunks: bool = True,
+    block: Column | None = None,
 ) -> DataFrame:
     """``df`` with one column per output of ``recurrence``, run over ``values`` in ``order``.
 
@@ -80,6 +86,9 @@ def scan(
     ``lags`` adds ``name: (column, k)``, the column's value ``k`` rows earlier, which costs next to
     nothing here: it is in the same array, or among the few last rows of the chunks before (unless
     ``lags_over_chunks`` is false).
+
+    ``block`` numbers blocks of consecutive chunks, for step 2 in two levels (without ``between``,
+    ``given`` and ``lags``).
     """
     lags = lags or {}
     depth = max([k for _, k in lags.values()], default=0) if lags_over_chunks else 0
@@ -132,17 +141,16 @@ def scan(
         summaries = summaries.unionByName(known, allowMissingColumns=True)
 
     # 2. the state each chunk starts with
-    def start_states(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(CHUNK, "ascending")])
-        starts, state, last_null, previous = [], recurrence.start(), False, None
-        befores, before = [], []
-        for chunk_no, head, head_start, rest, ends_null, known, last_rows in zip(
-            *[table.column(c).to_pylist() for c in (CHUNK, *summary_type.names, "_tail")]
+    def states_from(state, table: pa.Table, position: str, kept: list[str]) -> pa.Table:
+        table = table.sort_by([(position, "ascending")])
+        starts, last_null, previous, befores, before = [], False, None, [], []
+        for at, head, head_start, rest, ends_null, known, last_rows in zip(
+            *[table.column(c).to_pylist() for c in (position, *summary_type.names, "_tail")]
         ):
             befores.append(before)
             before = (before + (last_rows or []))[-depth:] if depth else before
             if between is not None and previous is not None:
-                state = between(state, last_null, previous, chunk_no)
+                state = between(state, last_null, previous, at)
             starts.append(state)
             if known is not None:
                 state = known
@@ -150,15 +158,55 @@ def scan(
                 _, state = recurrence.run(list(zip(head, head_start)) if several else head, state)
                 if rest is not None:
                     state = recurrence.after(state, rest)
-            last_null, previous = ends_null, chunk_no
-        table = table.select(group)
+            last_null, previous = ends_null, at
+        table = table.select(kept)
         table = table.append_column("_start", pa.array(starts, type=to_arrow_type(numbers)))
         return table.append_column("_before", pa.array(befores, type=to_arrow_type(tail_type)))
 
-    starts_type = (
-        T.StructType([cut.schema[c] for c in group]).add("_start", numbers).add("_before", tail_type)
-    )
-    starts = summaries.groupBy(*keys).applyInArrow(start_states, starts_type)
+    def start_states(table: pa.Table) -> pa.Table:
+        return states_from(recurrence.start(), table, CHUNK, group)
+
+    def block_start_states(table: pa.Table) -> pa.Table:
+        return states_from(recurrence.start(), table, BLOCK_NO, [*keys, BLOCK_NO])
+
+    def start_states_in_block(table: pa.Table, opening: pa.Table) -> pa.Table:
+        return states_from(opening.column("_start")[0].as_py(), table, CHUNK, group)
+
+    def combine(table: pa.Table) -> pa.Table:
+        """The summary of a block: the heads up to a full head, and the rest of everything after."""
+        table = table.sort_by([(CHUNK, "ascending")])
+        head, rest = [], None
+        for values_, rest_ in zip(table.column("_head").to_pylist(), table.column("_rest").to_pylist()):
+            taken = recurrence.head - len(head)
+            head += values_[:taken]
+            beyond = [recurrence.rest(values_[taken:])] if len(values_) > taken else []
+            for more in beyond + ([rest_] if rest_ is not None else []):
+                rest = more if rest is None else recurrence.then(rest, more)
+        first = table.slice(0, 1)
+        found = {"_head": head, "_head_start": None, "_rest": rest, "_last_null": False, "_state": None}
+        whole = pa.array([found], type=to_arrow_type(summary_type)).flatten()
+        return pa.table([*[first.column(c) for c in (*keys, BLOCK_NO)], *whole, first.column("_tail")],
+                        names=[*keys, BLOCK_NO, *summary_type.names, "_tail"])
+
+    ends = T.StructType().add("_start", numbers).add("_before", tail_type).fields
+    key_fields = [cut.schema[k] for k in keys]
+    starts_type = T.StructType([*key_fields, cut.schema[CHUNK], *ends])
+    if block is None:
+        starts = summaries.groupBy(*keys).applyInArrow(start_states, starts_type)
+    else:
+        at_block = T.StructField(BLOCK_NO, T.LongType())
+        placed = summaries.withColumn(BLOCK_NO, block)
+        blocks_type = T.StructType([*key_fields, at_block, *summary_type.fields,
+                                    T.StructField("_tail", tail_type)])
+        openings = (
+            placed.groupBy(*keys, BLOCK_NO).applyInArrow(combine, blocks_type)
+            .groupBy(*keys).applyInArrow(
+                block_start_states, T.StructType([*key_fields, at_block, *ends]))
+        )
+        starts = (
+            placed.groupBy(*keys, BLOCK_NO).cogroup(openings.groupBy(*keys, BLOCK_NO))
+            .applyInArrow(start_states_in_block, starts_type)
+        )
 
     # 3. each chunk from its state; the state joins its chunk's rows as one more row of the group
     replay_type = T.StructType(

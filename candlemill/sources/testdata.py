@@ -11,7 +11,8 @@ def trades_from_events(spark: SparkSession, folder: str) -> DataFrame:
     return events.select(
         F.col("event_id").alias("agg_trade_id"),
         F.col("value").alias("price"),
-        F.get_json_object("props", "$.k").cast("double").alias("quantity"),
+        # props is {"k": <int>}; a pattern finds it at a fraction of a JSON parser's cost per row
+        F.regexp_extract("props", r'"k"\s*:\s*(-?\d+)', 1).try_cast("double").alias("quantity"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp"),
         (F.col("event_id") % 2 == 0).alias("is_buyer_maker"),
         F.col("event_type").alias("symbol"),

@@ -108,12 +108,15 @@ def test_start_at_a_column(spark):
     assert in_order(cut, "ema7") == whole
 
 
-def test_every_trade_of_a_hot_symbol(spark):
+@pytest.mark.parametrize("chunk_rows, block", [(150, 1024), (150, 2), (20, 3), (5, 30)])
+def test_every_trade_of_a_hot_symbol(spark, monkeypatch, chunk_rows, block):
     """Nine of ten trades in one symbol, many at one instant, more rows than a chunk holds."""
     n = 2000
     rows = [("hot" if i % 10 else "cold", i // 50, i, v) for i, v in enumerate(wave(n))]
     df = spark.createDataFrame(rows, "symbol string, timestamp long, agg_trade_id long, price double")
-    got = {r.agg_trade_id: r.ema7 for r in ema_chunked(df.repartition(6), chunk_rows=150).collect()}
+    monkeypatch.setattr("candlemill.operators.chunks.BLOCK", block)
+    found = ema_chunked(df.repartition(6), chunk_rows=chunk_rows)
+    got = {r.agg_trade_id: r.ema7 for r in found.collect()}
     for symbol in ("hot", "cold"):
         level = None
         for s, _, i, v in rows:

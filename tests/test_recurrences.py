@@ -61,6 +61,15 @@ def test_any_cut_gives_the_same(values, size):
     assert all(map(close, slow, slow_ema(values, 20)))
 
 
+def test_rests_in_a_row_amount_to_one():
+    values = wave(300)
+    for seed in ("sma", "first"):
+        fold = Averages([7, 20], seed)
+        parts = [fold.rest(values[a : a + 100]) for a in (0, 100, 200)]
+        joined = fold.then(fold.then(parts[0], parts[1]), parts[2])
+        assert all(map(close, joined, fold.rest(values)))
+
+
 def test_nulls_leave_the_state_alone():
     values = wave(40)
     holed = values[:10] + [None] + values[10:25] + [None, None] + values[25:]
