@@ -7,6 +7,6 @@
 * ``candlemill.plans``      whole jobs: one day, a date range, the live pattern job
 """
 
-from candlemill.session import prepare, session, stage
+from candlemill.session import drop_staged, prepare, session, stage
 
-__all__ = ["prepare", "session", "stage"]
+__all__ = ["drop_staged", "prepare", "session", "stage"]

@@ -43,15 +43,20 @@ def _ship_package() -> None:
     cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
+# Per application: the folder made where the cluster names none, and the tables staged so far.
+_made: dict[str, str] = {}
+_staged: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (local runs and tests) is a temporary folder made, once per session.
+    Only where that is unset (local runs and tests) is a temporary folder made, once per application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="candlemill-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        named = _made.get(app) or _made.setdefault(app, tempfile.mkdtemp(prefix="candlemill-"))
     return named.rstrip("/")
 
 
@@ -65,6 +70,17 @@ def stage(df: DataFrame, label: str = "staged") -> DataFrame:
     Used where a result feeds several passes: the trades behind it are then scanned once, each pass
     still prunes its own columns, and a lost executor re-reads the file instead of the trades.
     """
-    path = fresh_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables this application staged, once nothing reads them any more."""
+    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)

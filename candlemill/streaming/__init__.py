@@ -1,10 +1,15 @@
 """Structured Streaming: bars, patterns and the live job."""
 
 from candlemill.streaming.bars import stream_klines, union_by_symbol
-from candlemill.streaming.jobs import bounded_pattern_job, start_pattern_job, stream_metrics
+from candlemill.streaming.jobs import (
+    bounded_pattern_job,
+    start_pattern_job,
+    state_partitions,
+    stream_metrics,
+)
 from candlemill.streaming.patterns import EngulfingProcessor, bounded_patterns, stream_patterns
 
 __all__ = [
     "EngulfingProcessor", "bounded_pattern_job", "bounded_patterns", "start_pattern_job",
-    "stream_klines", "stream_metrics", "stream_patterns", "union_by_symbol",
+    "state_partitions", "stream_klines", "stream_metrics", "stream_patterns", "union_by_symbol",
 ]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from candlemill.operators.projections import only_patterns
@@ -26,11 +29,15 @@ def start_pattern_job(
     alerts_options: dict | None = None,
     keyed_alerts: bool = True,
     once: bool = False,
+    parallelism: int | None = None,
 ) -> StreamingQuery:
     """Start it. Bars are columns of the pattern rows, so a micro-batch is computed once, kept, and
     written three times; each write can be repeated after a failure without doubling rows (a topic
     gets at-least-once). ``once`` takes what is there now and stops: windows the watermark has not
     passed stay open, so for input that has an end use ``bounded_pattern_job``.
+
+    ``parallelism`` is the number of state partitions (the session's shuffle partitions unless given),
+    fixed for good by the first start with a checkpoint; the topic's partitions are a good measure.
     """
 
     def fan_out(batch: DataFrame, batch_id: int) -> None:
@@ -47,7 +54,21 @@ def start_pattern_job(
     patterns = stream_patterns(stream_klines(trades, interval, delay))
     writer = patterns.writeStream.outputMode("append").foreachBatch(fan_out)
     writer = writer.option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    with state_partitions(trades.sparkSession, parallelism):
+        return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+@contextmanager
+def state_partitions(spark: SparkSession, number: int | None) -> Iterator[None]:
+    """Queries started inside keep their state in ``number`` partitions."""
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    if number is not None:
+        spark.conf.set(setting, str(number))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
 
 
 def bounded_pattern_job(trades: DataFrame, interval_s: int = 900) -> DataFrame:

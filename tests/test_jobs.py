@@ -1,7 +1,10 @@
+import os
 from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
+from candlemill import drop_staged, stage
+from candlemill.__main__ import arguments, main
 from candlemill.plans import run_day, run_range
 from helpers import slow_day_ema, wave
 
@@ -62,3 +65,22 @@ def test_days_one_by_one_equal_the_range_and_can_be_repeated(spark, tmp_path):
     run_range(spark, csv, month, scope="continuous")
     nulls = spark.read.parquet(f"{month}/serving/pattern_two").where("ema20 IS NULL").count()
     assert nulls == 2 * 19
+
+
+def test_command_line(spark, tmp_path):
+    source = tmp_path / "files"
+    source.mkdir()
+    write_days(source)
+    main(["day", "--source", f"{source}/*.csv", "--root", f"{tmp_path}/out", "--date", str(DAY_0),
+          "--symbols", "BTCUSDT"])
+    rows = spark.read.parquet(f"{tmp_path}/out/serving/pattern_two")
+    assert {(r.symbol, r.landing_date) for r in rows.collect()} == {("BTCUSDT", DAY_0)}
+    args = arguments(["range", "--source", "s", "--root", "r", "--scope", "continuous"])
+    assert args.scope == "continuous" and args.start is None
+
+
+def test_staged_tables_can_be_dropped(spark):
+    drop_staged(spark)
+    path = stage(spark.range(3)).inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    assert os.path.exists(path)
+    assert drop_staged(spark) == 1 and not os.path.exists(path)

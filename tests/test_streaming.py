@@ -145,9 +145,12 @@ def test_job_restart_fan_out_and_equality_with_batch(spark, tmp_path):
     def run():
         query = start_pattern_job(
             source(spark, folder), f"{out}/bars", f"{out}/patterns", f"{out}/alerts", f"{out}/ck",
-            once=True,
+            once=True, parallelism=3,
         )
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "2"
         query.awaitTermination()
+        states = {o.numShufflePartitions for p in query.recentProgress for o in p.stateOperators}
+        assert states == {3}
 
     half = len(lines) // 2
     drop(folder, "1", lines[:100])
