@@ -32,15 +32,16 @@ def bucket_chunk(order: str = "group_id", span: int = SPAN) -> Column:
 
 
 def range_chunks(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int = 100_000
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int = 2 * SPAN,
+    piece_rows: int = 1_000_000,
 ) -> DataFrame:
     """Cut rows of any density (ticks, say) into chunks of at most ``chunk_rows`` rows.
 
-    A range partition over (keys, order) splits a hot key; within a sorted partition rows are counted
-    off. The cut depends on a sample, so the result is written before it is used: every later pass, and
+    A range partition over (keys, order) into pieces of about ``piece_rows`` rows splits a hot key;
+    within a sorted piece rows are counted off. The cut depends on a sample, so the result is written before it is used: every later pass, and
     every retry, sees the same chunks.
     """
-    pieces = min(max(1, ceil(df.count() / (4 * chunk_rows))), MAX_PIECES)
+    pieces = min(max(1, ceil(df.count() / piece_rows)), MAX_PIECES)
     cut = df.repartitionByRange(pieces, *keys, *order).sortWithinPartitions(*keys, *order)
     return stage(cut.withColumn(CHUNK, floor_div(F.monotonically_increasing_id(), chunk_rows)), "chunks")
 

@@ -137,14 +137,15 @@ def ema_chunked(
     keys: Sequence[str] = ("symbol",),
     order: Sequence[str] = ("timestamp", "agg_trade_id"),
     seed: str = "first",
-    chunk_rows: int = 100_000,
+    chunk_rows: int = 2 * SPAN,
+    piece_rows: int = 1_000_000,
 ) -> DataFrame:
     """Exponential average over rows of any density, such as every single trade.
 
     Chunks are cut by row count, so one key with most of the rows, or many rows at one instant, is
     spread over the cluster all the same; and their summaries are gathered in two levels.
     """
-    cut = range_chunks(rows, keys, order, chunk_rows)
+    cut = range_chunks(rows, keys, order, chunk_rows, piece_rows)
     return scan(
         cut, Averages([period], seed), [value], {f"ema{period}": T.DoubleType()},
         F.col(CHUNK), keys, order, block=chunk_block(),

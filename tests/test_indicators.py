@@ -115,7 +115,7 @@ def test_every_trade_of_a_hot_symbol(spark, monkeypatch, chunk_rows, block):
     rows = [("hot" if i % 10 else "cold", i // 50, i, v) for i, v in enumerate(wave(n))]
     df = spark.createDataFrame(rows, "symbol string, timestamp long, agg_trade_id long, price double")
     monkeypatch.setattr("candlemill.operators.chunks.BLOCK", block)
-    found = ema_chunked(df.repartition(6), chunk_rows=chunk_rows)
+    found = ema_chunked(df.repartition(6), chunk_rows=chunk_rows, piece_rows=700)
     got = {r.agg_trade_id: r.ema7 for r in found.collect()}
     for symbol in ("hot", "cold"):
         level = None
