@@ -87,10 +87,10 @@ class Averages:
 
     state_type = "double"
 
-    def __init__(self, periods, seed: str = "sma"):
+    def __init__(self, periods, seed: str = "sma", head: int = HEAD):
         kind = {"sma": Average, "first": FirstValueAverage}[seed]
         self.parts = [kind(p) for p in periods]
-        self.head = max(HEAD, *periods)
+        self.head = max(head, *periods)
 
     def start(self):
         return [0.0, 0.0] * len(self.parts)

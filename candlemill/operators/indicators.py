@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from candlemill.functions.columns import half_up
 from candlemill.functions.recurrences import (
+    HEAD,
     Averages,
     DecimalAverage,
     Macd,
@@ -28,6 +29,8 @@ from candlemill.operators.chunks import (
 )
 from candlemill.operators.ordered import scan
 
+DAY_HEAD = 128
+
 
 def sma(
     bars: DataFrame,
@@ -94,7 +97,9 @@ def ema(
             {names[0]: T.DoubleType()}, bucket_chunk(order, span), keys, [order],
         )
     outputs = {n: T.DoubleType() for n in names}
-    averages = Averages(periods, seed)
+    # A day's end is rounded before it is carried on. Days of up to DAY_HEAD bars (15-minute bars: 96)
+    # are gone through value by value, so that not even a last bit can tip that rounding.
+    averages = Averages(periods, seed, DAY_HEAD if scope == "day" else HEAD)
     if scope == "continuous":
         raw = scan(
             bars, averages, [value], outputs, bucket_chunk(order, span), keys, [order], lags=lags

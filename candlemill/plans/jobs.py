@@ -8,6 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlemill.functions.columns import event_time
 from candlemill.operators.bars import klines
 from candlemill.operators.patterns import pattern_two
 from candlemill.operators.projections import (
@@ -30,11 +31,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def land(spark: SparkSession, source: str, root: str, start=None, end=None,
-         symbols: Sequence[str] | None = None) -> None:
-    """Files or archives named by symbol and day, any number of both, into the landing folder."""
+         symbols: Sequence[str] | None = None, unit: str = "us") -> None:
+    """Files or archives into the landing folder, any number of symbols and days at once.
+
+    Names carry the symbol and the day; trades of a file without a day in its name (a month file) are
+    landed by the day they happened.
+    """
     read = read_trades_zip if source.endswith(".zip") else read_trades_csv
-    trades = between_dates(read(spark, source, tag_from_name=True), start, end, symbols)
-    write_landing(add_ingest_columns(trades), f"{root}/{LANDING}")
+    trades = read(spark, source, tag_from_name=True)
+    named, outside = F.col("landing_date"), F.lit(False)
+    if start is not None:
+        outside = outside | (named < F.lit(str(start)).cast("date"))
+    if end is not None:
+        outside = outside | (named > F.lit(str(end)).cast("date"))
+    happened = F.to_date(event_time("timestamp", unit))
+    wanted = between_dates(
+        # on the name alone, so that files of other days need not be opened
+        trades.where(named.isNull() | ~outside)
+        .withColumn("landing_date", F.coalesce(named, happened)),
+        start, end, symbols,
+    )
+    write_landing(add_ingest_columns(wanted), f"{root}/{LANDING}")
 
 
 def transform(spark: SparkSession, root: str, start=None, end=None,
@@ -83,7 +100,7 @@ def run_range(spark: SparkSession, source: str, root: str, start: date | None =
               ids_follow_time: bool = False) -> None:
     """All days of a range in one pass per table; ``scope="continuous"`` carries averages over days
     without the daily rounding and reset, as a job over a whole month does."""
-    land(spark, source, root, start, end, symbols)
+    land(spark, source, root, start, end, symbols, unit)
     transform(spark, root, start, end, symbols, interval_s, unit, ids_follow_time)
     find_patterns(spark, root, start, end, symbols, scope)
 

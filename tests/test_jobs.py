@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from candlemill import drop_staged, stage
 from candlemill.__main__ import arguments, main
 from candlemill.plans import run_day, run_range
+from candlemill.sources import between_dates, read_trades_csv
 from helpers import slow_day_ema, wave
 
 DAY_0 = date(2025, 10, 1)
@@ -67,6 +68,30 @@ def test_days_one_by_one_equal_the_range_and_can_be_repeated(spark, tmp_path):
     assert nulls == 2 * 19
 
 
+def test_a_month_file_is_landed_by_the_day_of_each_trade(spark, tmp_path):
+    write_days(tmp_path)
+    with open(tmp_path / "BTCUSDT-aggTrades-2025-10.csv", "w") as month:
+        for name in sorted(os.listdir(tmp_path)):
+            if name.startswith("BTCUSDT-aggTrades-2025-10-"):
+                month.write((tmp_path / name).read_text())
+    days, month = f"{tmp_path}/days", f"{tmp_path}/month"
+    run_range(spark, f"{tmp_path}/*-2025-10-*.csv", days, symbols=["BTCUSDT"], scope="continuous")
+    run_range(spark, f"{tmp_path}/*-2025-10.csv", month, scope="continuous")
+    assert table(spark, month) == table(spark, days) != []
+    part = f"{tmp_path}/part"
+    run_range(spark, f"{tmp_path}/*-2025-10.csv", part, DAY_0, DAY_0)
+    assert {r.landing_date for r in table(spark, part)} == {DAY_0}
+
+
+def test_files_of_other_days_are_not_opened(spark, tmp_path):
+    write_days(tmp_path)
+    trades = read_trades_csv(spark, f"{tmp_path}/*.csv", tag_from_name=True)
+    day = between_dates(trades, DAY_0, DAY_0)
+    assert len(day.collect()) == 2 * 2 * BARS_PER_DAY[0]
+    scan = day._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().get("numFiles").get().value() == 2
+
+
 def test_command_line(spark, tmp_path):
     source = tmp_path / "files"
     source.mkdir()
