@@ -29,6 +29,7 @@ from candlemill.sources.testdata import trades_from_events, trades_from_orders
 from candlemill.streaming import (
     bounded_pattern_job,
     start_pattern_job,
+    state_partitions,
     stream_klines,
 )
 
@@ -375,15 +376,23 @@ def bounded_engulfing(spark, folder):
     return bounded_pattern_job(event_stream_rows(spark, folder), HOUR)
 
 
+def _slots(spark: SparkSession) -> int:
+    """State partitions: the session's shuffle partitions, but no more than tasks that run at once."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(shuffle, max(spark.sparkContext.defaultParallelism, 1))
+
+
 def stream_bars(spark, folder):
     """Messages through the stream into files; the windows the watermark has passed."""
     trades = read_trades_stream(spark, message_folder(prepare(spark), folder), "json")
     out = fresh_path(spark, "stream-bars")
-    query = (
+    writer = (
         stream_klines(trades, "1 hour", "5 seconds").writeStream.outputMode("append")
         .format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/ck")
-        .trigger(availableNow=True).start()
+        .trigger(availableNow=True)
     )
+    with state_partitions(spark, _slots(spark)):
+        query = writer.start()
     query.awaitTermination()
     return spark.read.parquet(f"{out}/rows")
 
@@ -392,7 +401,8 @@ def _run_pattern_job(spark, folder) -> str:
     trades = read_trades_stream(spark, message_folder(prepare(spark), folder), "json")
     out = fresh_path(spark, "stream-patterns")
     query = start_pattern_job(
-        trades, f"{out}/bars", f"{out}/patterns", f"{out}/alerts", f"{out}/ck", "1 hour", once=True
+        trades, f"{out}/bars", f"{out}/patterns", f"{out}/alerts", f"{out}/ck", "1 hour", once=True,
+        parallelism=_slots(spark),
     )
     query.awaitTermination()
     return out

@@ -57,6 +57,13 @@ def test_null_close_gives_null_and_keeps_the_state(spark):
     assert in_order(with_trend(closes(spark, holed), 4), "trend")[12] is None
 
 
+def test_bars_without_a_symbol_are_a_series_of_their_own(spark):
+    values = wave(90)
+    rows = [bar(None, i, v, v) for i, v in enumerate(values)] + [bar("A", 5, 1.0, 1.0)]
+    got = ema(bars(spark, rows), span=10).where("symbol IS NULL").orderBy("group_id").collect()
+    assert [r.ema20 for r in got] == [half_up(v, 4) for v in slow_ema(values, 20)]
+
+
 def test_zero_is_a_value(spark):
     assert in_order(ema(closes(spark, [0.0] * 8)), "ema7")[6:] == [0.0, 0.0]
 
