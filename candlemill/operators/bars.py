@@ -28,7 +28,7 @@ def klines(
     symbol with most of the trades is reduced to a row per bucket and task before the shuffle.
 
     ``ids_follow_time=True`` is for feeds whose trade ids grow with time. Only plain numbers are then
-    kept per bucket, which stays a hash aggregation (the general form sorts each task's rows, about
+    kept per bucket, which stays a hash aggregation (the general form sorts each task's rows, over
     twice the work). The claim is checked: a bucket whose smallest (largest) id is not at its earliest
     (latest) time makes the job fail rather than give a wrong price.
     """
