@@ -49,19 +49,30 @@ _staged: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder the cluster names in ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``.
 
-    Only where that is unset (local runs and tests) is a temporary folder made, once per application.
+    Only a session on this one machine (``local[...]``) that names none gets a temporary folder, made once per
+    application. Anywhere else a folder of one machine would be invisible to the others, so that is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        app = spark.sparkContext.applicationId
+        if not single_machine(context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        app = context.applicationId
         named = _made.get(app) or _made.setdefault(app, tempfile.mkdtemp(prefix="candlemill-"))
     return named.rstrip("/")
 
 
+def single_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing uses yet; ``drop_staged`` deletes what is written there."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str = "staged") -> DataFrame:
@@ -73,12 +84,11 @@ def stage(df: DataFrame, label: str = "staged") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> int:
-    """Delete the tables this application staged, once nothing reads them any more."""
+    """Delete what this application put into the shared folder, once nothing reads it any more."""
     paths = _staged.pop(spark.sparkContext.applicationId, [])
     for path in paths:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
