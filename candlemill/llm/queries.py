@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from candlemill.llm.common import read
 from candlemill.llm.exact_dedup import exact_dedup
 from candlemill.llm.mixing import mix_report
+from candlemill.llm.packing import pack_documents
+from candlemill.llm.quality_rules import quality_report
+from candlemill.llm.simhash import near_duplicates
 
 
 def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,7 +23,29 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_report(read(spark, folder, "documents"))
 
 
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates(read(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(read(spark, folder, "documents"), tokenizer_path())
+
+
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_report(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
+    "op3_simhash": op3_simhash,
+    "op8_packing": op8_packing,
+    "op10_quality_rules": op10_quality_rules,
 }
