@@ -11,8 +11,10 @@ from candlemill.llm.common import read
 from candlemill.llm.exact_dedup import exact_dedup
 from candlemill.llm.mixing import mix_report
 from candlemill.llm.packing import pack_documents
+from candlemill.llm.quality_classifier import quality_scores
 from candlemill.llm.quality_rules import quality_report
 from candlemill.llm.simhash import near_duplicates
+from candlemill.llm.toxicity import toxicity_scores
 
 
 def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,6 +30,10 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -38,6 +44,10 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(read(spark, folder, "documents"), tokenizer_path())
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_report(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
@@ -46,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
+    "op4_quality_classifier": op4_quality_classifier,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
