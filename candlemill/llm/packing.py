@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,66 +17,103 @@ from candlemill.session import stage
 
 SIZE = 2048
 END_ID = 1
-CHUNK_ROWS = 512
+CHUNK_ROWS = 256
 
 # ---- tokens -------------------------------------------------------------------------------------
 
 # Characters at which Python and the tokenizers disagree about white space.
 ODD_SPACES = "\x1c\x1d\x1e\x1f\x85\u180e"
-KNOWN_WORDS, KNOWN_CORES = 400_000, 1_000_000
+# In texts of these alone (in Latin-1), a full stop or comma is a token of its own unless it is next to another.
+_LETTERS = [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]
+PLAIN = bytes([*b"0123456789 \t\n\x0b\x0c\r.,", *_LETTERS])
+TWO_MARKS = ("..", ",,", ".,", ",.")
+KNOWN_WORDS = 1_000_000
+BATCH_CHARS = 4_000_000
 
 
 class WordEncoder:
     """``Tokenizer.encode`` through a memory of words, for a vocabulary whose words never cross white space.
 
     The ids of a text are those of its words one after the other, so each new word goes through the tokenizer
-    once; ids are kept as little-endian 4-byte strings. Most new words are known ones in another case or
-    with a comma or stop after them, which the tokenizer also splits off. Texts with characters that
-    Python takes for spaces and the tokenizer does not, or the other way round, are encoded whole.
+    once; ids are kept as little-endian 4-byte strings. Plain texts are lower-cased and their stops and commas
+    set apart first, as the tokenizer does, so that a word is known however it is written. Texts with characters
+    that Python takes for spaces and the tokenizer does not, or the other way round, are encoded whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
 
-    def plain(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        parts = {}
-        for word in new:
-            core = word.rstrip(".,")
-            # of letters alone: the rest of the word cannot join it, nor is it a special token
-            parts[word] = (core.lower() if max(core) < "\u0250" else core, word[len(core):]) if core.isalpha() else (word, "")
-        unknown = list({x for pair in parts.values() for x in pair if x}.difference(self.cores))
-        if len(self.cores) + len(unknown) > KNOWN_CORES:
-            self.cores.clear()
-            unknown = list({x for pair in parts.values() for x in pair if x})
-        for i in range(0, len(unknown), 2000):
-            some = unknown[i:i + 2000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.cores[word] = np.array(found.ids, "<u4").tobytes()
-        if len(self.words) + len(parts) > KNOWN_WORDS:
-            self.words.clear()
-        for word, (core, end) in parts.items():
-            self.words[word] = self.cores[core] + self.cores[end] if end else self.cores[core]
-
-    def encode(self, text: str) -> bytes:
-        if any(c in text for c in ODD_SPACES):
-            return self.plain(text)
-        words = text.split()
+    @staticmethod
+    def words(text: str) -> list[str]:
         try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:
-            # a text with more new words than are kept at a time still gets all of them here
-            self._learn({w for w in words if w not in self.words})
-        known = self.words
-        if any(w not in known for w in words):
-            return self.plain(text)
-        return b"".join([known[w] for w in words])
+            plain = not text.encode("latin-1").translate(None, PLAIN) and not any(m in text for m in TWO_MARKS)
+        except UnicodeEncodeError:
+            plain = False
+        return (text.lower().replace(".", " . ").replace(",", " , ") if plain else text).split()
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Words of letters alone are one token run each, whose last id ends a word, so they go in lines of many."""
+        fresh, one_by_one = {}, [w for w in new if not w.isalpha()]
+        letters = [w for w in new if w.isalpha()]
+        lines = [letters[i:i + 200] for i in range(0, len(letters), 200)]
+        for words, found in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(words):
+                one_by_one += words
+                continue
+            raw = ids.tobytes()
+            fresh.update((w, raw[4 * a:4 * b]) for w, a, b in zip(words, [0, *ends], ends))
+        for at in range(0, len(one_by_one), 4000):
+            some = one_by_one[at:at + 4000]
+            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                fresh[word] = np.array(found.ids, "<u4").tobytes()
+        return fresh
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. All words that are new in these texts are learned in one go."""
+        out: list[bytes] = [b""] * len(texts)
+        waiting, new, get = [], set(), self.known.get
+        for i, text in enumerate(texts):
+            if any(c in text for c in ODD_SPACES):
+                out[i] = self.whole(text)
+                continue
+            words = self.words(text)
+            parts = list(map(get, words))
+            try:
+                out[i] = b"".join(parts)
+            except TypeError:  # None among them
+                waiting.append((i, words, parts))
+                new.update(w for w, p in zip(words, parts) if p is None)
+        fresh = self._learn(list(new))
+        for i, words, parts in waiting:
+            out[i] = b"".join([fresh[w] if p is None else p for w, p in zip(words, parts)])
+        if len(self.known) + len(fresh) > KNOWN_WORDS:  # the words met first are the common ones
+            self.known = dict(islice(self.known.items(), KNOWN_WORDS // 2))
+        self.known.update(islice(fresh.items(), KNOWN_WORDS // 2))
+        return out
+
+
+def in_parts(texts: list[bytes]) -> Iterator[list[str]]:
+    """Consecutive texts, so many at a time that their words take little memory."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text.decode("utf-8", "replace"))
+        size += len(text)
+        if size > BATCH_CHARS:
+            yield part
+            part, size = [], 0
+    yield part
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -97,11 +136,11 @@ def token_pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END
     end, step = np.array([end_id], "<u4").tobytes(), 4 * size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path).encode_all
         for batch in batches:
             rows, starts, lengths, sums, totals, ids = [], [], [], [], [], []
-            for i, text in enumerate(texts(batch)):
-                tokens = encode(text.decode("utf-8", "replace")) + end
+            for i, found in enumerate(x for part in in_parts(texts(batch)) for x in encode(part)):
+                tokens = found + end
                 for at in range(0, len(tokens), step):
                     piece = tokens[at:at + step]
                     rows.append(i)
