@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from candlemill.llm.common import read
 from candlemill.llm.exact_dedup import exact_dedup
+from candlemill.llm.html_text import extract_text
 from candlemill.llm.mixing import mix_report
 from candlemill.llm.packing import pack_documents
+from candlemill.llm.pseudonyms import pseudonymise
 from candlemill.llm.quality_classifier import quality_scores
 from candlemill.llm.quality_rules import quality_report
+from candlemill.llm.sharding import shard_documents
 from candlemill.llm.simhash import near_duplicates
 from candlemill.llm.toxicity import toxicity_scores
 
@@ -34,6 +37,24 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op5_html(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages").select("page_id", "url", "html")
+    return extract_text(pages).select("page_id", "url", "text")
+
+
+# Whoever uses the operator brings their own key; this one is for the query alone.
+QUERY_KEY = "candlemill query key"
+
+
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonymise(read(spark, folder, "documents").select("doc_id", "text"), QUERY_KEY)
+
+
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    found = shard_documents(read(spark, folder, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -57,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_html": op5_html,
+    "op6_pii": op6_pii,
+    "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
