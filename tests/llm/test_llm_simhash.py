@@ -72,7 +72,6 @@ def test_links_connect_what_is_near(spark, block):
     fps = around(400, 9)
     df = spark.createDataFrame([(S._signed(x), i) for i, x in enumerate(fps)], "fp long, first_id long")
     links = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in S.fingerprint_links(df, block).collect()]
-    assert all((a ^ b).bit_count() <= 3 for a, b in links) or True  # a link may stand for a path of near pairs
     same = lambda r: sorted(map(sorted, {v: [k for k in r if r[k] == v] for v in r.values()}.values()))
     assert same(roots(fps, links)) == same(roots(fps, near(fps)))
 
