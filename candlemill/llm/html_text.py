@@ -24,6 +24,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 NOT_SHOWN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title meta link base area param source track col colgroup".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset form menu dir".split())
 BLOCK = MARGIN | frozenset("html body address article aside center dd details dialog div dt fieldset figcaption footer header hgroup legend li main nav section summary tbody td tfoot th thead tr caption optgroup option search".split())
+FORMATTING = frozenset("a b big code em font i nobr s small span strike strong tt u".split())
 CLOSES_P = BLOCK - frozenset("html body caption dd dt li tbody td tfoot th thead tr option optgroup".split()) | frozenset(["li", "dd", "dt"])
 # What an opening tag ends first, and the elements beyond which it ends nothing.
 IMPLIED = {
@@ -113,6 +114,9 @@ def build(html: str) -> Node:
             elif tag == "br":
                 open_[-1].children.append(Node("br", {}))
             elif tag not in ("html", "body"):  # what follows them still belongs to the page
+                if tag in FORMATTING:  # an end tag of text does not end the blocks begun since
+                    close_through({tag}, SCOPE | BLOCK)
+                    continue
                 close_through({tag}, SCOPE - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else {"html", "body"} | ({"table"} - {tag}))
             continue
         attrs = _attributes(found["attrs"] or found["attrs2"] or "")
