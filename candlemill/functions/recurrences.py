@@ -12,7 +12,12 @@ Each has
 A chunk is summarised as its first ``HEAD`` values plus the ``rest`` of the others. The head carries any
 warm-up through, so summaries can be applied in order without the rows.
 
-State is a flat list of numbers (``state_type`` says how Spark stores them).
+A state reached through summaries and one reached value by value are two sums of the same terms, and in
+doubles they would differ in a last place, which on flat prices never goes away and decides ties. So levels are
+fixed-point integers of ``SHIFT`` binary places: the two differ some sixty decimal places down, and what
+comes out is rounded to a double once. A flat series stands still, and no result depends on how rows are cut.
+
+State is a flat list of strings, which hold integers or decimals of any length.
 """
 
 from __future__ import annotations
@@ -20,6 +25,9 @@ from __future__ import annotations
 from decimal import ROUND_HALF_UP, Context, Decimal, localcontext
 
 HEAD = 64
+SHIFT = 200
+SHOWN = 160
+ONE = 1 << SHIFT
 
 
 def missing(x) -> bool:
@@ -31,33 +39,53 @@ def trunc_half_up(x: float, digits: int) -> float:
     return float(int(x * factor + 0.5)) / factor
 
 
+def fixed(x: float) -> int:
+    """A double with ``SHIFT`` binary places; exact unless it is below 2^-147 or so."""
+    above, below = float(x).as_integer_ratio()
+    return (above << SHIFT) // below
+
+
+def level_of(text: str) -> int:
+    """A level as it is kept in a state, or a double in text, as Spark casts it."""
+    return int(text) if text.lstrip("-").isdigit() else fixed(float(text))
+
+
+def times(coefficient: int, level: int) -> int:
+    return coefficient * level >> SHIFT
+
+
 class Average:
-    """One exponential average, started from the mean of its first ``period`` values."""
+    """One exponential average, started from the mean of its first ``period`` values.
+
+    The weight of a new value is 2 / (period + 1), so a step is (the level times (period - 1) plus twice the
+    value) / (period + 1).
+    """
 
     def __init__(self, period: int):
-        self.period, self.k = period, 2 / (period + 1)
+        self.period, self.keep, self.whole = period, period - 1, period + 1
 
     def run(self, values, count, level):
-        out, period, k = [], self.period, self.k
+        """``values`` and the levels given out are fixed-point integers (or None)."""
+        out, period, keep, whole = [], self.period, self.keep, self.whole
         for x in values:
-            if x is None or x != x:
+            if x is None:
                 out.append(None)
             elif count >= period:
-                level = (x - level) * k + level
+                level = (keep * level + 2 * x) // whole
                 out.append(level)
             else:
                 count, level = count + 1, level + x
                 if count == period:
-                    level /= period
+                    level //= period
                     out.append(level)
                 else:
                     out.append(None)
         return out, count, level
 
     def rest(self, values):
-        a, b, k = 1.0, 0.0, self.k
+        a, b, keep, whole = ONE, 0, self.keep, self.whole
         for x in values:
-            a, b = a - a * k, (x - b) * k + b
+            a, b = keep * a // whole, (keep * b + 2 * x) // whole
         return [a, b]
 
 
@@ -65,27 +93,31 @@ class FirstValueAverage(Average):
     """Started from the first value, with no warm-up."""
 
     def run(self, values, count, level):
-        out, alpha = [], self.k
+        out, keep, whole = [], self.keep, self.whole
         for x in values:
-            if missing(x):
+            if x is None:
                 out.append(None)
                 continue
-            level = alpha * x + (1 - alpha) * level if count else x
+            level = (keep * level + 2 * x) // whole if count else x
             count = 1
             out.append(level)
         return out, count, level
 
-    def rest(self, values):
-        a, b, alpha = 1.0, 0.0, self.k
-        for x in values:
-            a, b = a * (1 - alpha), alpha * x + (1 - alpha) * b
-        return [a, b]
+
+def fixed_values(values) -> list[int | None]:
+    return [None if x is None or x != x else fixed(x) for x in values]
+
+
+def doubles(levels) -> list[float | None]:
+    """Levels with ``SHOWN`` binary places, as the nearest doubles: what is below those places depends on the cut."""
+    half, drop, one = 1 << SHIFT - SHOWN - 1, SHIFT - SHOWN, 1 << SHOWN
+    return [None if x is None else (x + half >> drop) / one for x in levels]
 
 
 class Averages:
     """Several exponential averages of one value. State per average: values seen, level."""
 
-    state_type = "double"
+    state_type = "string"
 
     def __init__(self, periods, seed: str = "sma", head: int = HEAD):
         kind = {"sma": Average, "first": FirstValueAverage}[seed]
@@ -93,82 +125,90 @@ class Averages:
         self.head = max(head, *periods)
 
     def start(self):
-        return [0.0, 0.0] * len(self.parts)
+        return ["0", "0"] * len(self.parts)
 
     def run(self, values, state):
-        outputs, end = [], []
+        values, outputs, end = fixed_values(values), [], []
         for i, part in enumerate(self.parts):
-            out, count, level = part.run(values, state[2 * i], state[2 * i + 1])
-            outputs.append(out)
-            end += [float(count), float(level)]
+            out, count, level = part.run(values, int(state[2 * i]), level_of(state[2 * i + 1]))
+            outputs.append(doubles(out))
+            end += [str(count), str(level)]
         return outputs, end
 
     def rest(self, values, last=None):
-        return [n for part in self.parts for n in part.rest(values)]
+        values = fixed_values(values)
+        return [str(n) for part in self.parts for n in part.rest(values)]
 
     def then(self, first, second):
         """The rest that ``first`` and then ``second`` amount to."""
-        pairs = zip(first[::2], first[1::2], second[::2], second[1::2])
-        return [n for a1, b1, a2, b2 in pairs for n in (a1 * a2, a2 * b1 + b2)]
+        one, two = [int(n) for n in first], [int(n) for n in second]
+        pairs = zip(one[::2], one[1::2], two[::2], two[1::2])
+        return [str(n) for a1, b1, a2, b2 in pairs for n in (times(a1, a2), times(a2, b1) + b2)]
 
     def after(self, state, rest):
         end = list(state)
         for i in range(len(self.parts)):
-            a, b = rest[2 * i : 2 * i + 2]
-            end[2 * i + 1] = a * state[2 * i + 1] + b
+            a, b = int(rest[2 * i]), int(rest[2 * i + 1])
+            end[2 * i + 1] = str(times(a, level_of(state[2 * i + 1])) + b)
         return end
 
 
 class Macd:
     """MACD line, its signal and their difference. State: three averages (fast, slow, signal)."""
 
-    state_type = "double"
+    state_type = "string"
 
     def __init__(self, fast: int = 12, slow: int = 26, signal: int = 9):
         self.fast, self.slow, self.signal = Average(fast), Average(slow), Average(signal)
         self.head = max(HEAD, fast + signal, slow + signal)
 
     def start(self):
-        return [0.0] * 6
+        return ["0"] * 6
 
     def run(self, values, state):
+        values, state = fixed_values(values), [int(n) for n in state]
         fast, *end_fast = self.fast.run(values, *state[0:2])
         slow, *end_slow = self.slow.run(values, *state[2:4])
         line = [None if f is None or s is None else f - s for f, s in zip(fast, slow)]
         signal, *end_signal = self.signal.run(line, *state[4:6])
         histogram = [None if s is None else m - s for m, s in zip(line, signal)]
-        end = [float(n) for n in (*end_fast, *end_slow, *end_signal)]
-        return [fast, slow, line, signal, histogram], end
+        end = [str(n) for n in (*end_fast, *end_slow, *end_signal)]
+        return [doubles(x) for x in (fast, slow, line, signal, histogram)], end
 
     def rest(self, values, last=None):
-        fk, sk, k = self.fast.k, self.slow.k, self.signal.k
-        fa, fb, sa, sb = 1.0, 0.0, 1.0, 0.0
-        own, from_fast, from_slow, const = 1.0, 0.0, 0.0, 0.0
-        for x in values:
-            fa, fb = fa - fa * fk, (x - fb) * fk + fb
-            sa, sb = sa - sa * sk, (x - sb) * sk + sb
-            own -= own * k
-            from_fast += k * (fa - from_fast)
-            from_slow += k * (-sa - from_slow)
-            const += k * ((fb - sb) - const)
-        return [fa, fb, sa, sb, own, from_fast, from_slow, const]
+        """The levels become fa * fast + fb and sa * slow + sb, and the signal
+        own * signal + from_fast * fast + from_slow * slow + const."""
+        f, s, g = self.fast, self.slow, self.signal
+        fa, fb, sa, sb, own, from_fast, from_slow, const = ONE, 0, ONE, 0, ONE, 0, 0, 0
+        for x in fixed_values(values):
+            fa, fb = f.keep * fa // f.whole, (f.keep * fb + 2 * x) // f.whole
+            sa, sb = s.keep * sa // s.whole, (s.keep * sb + 2 * x) // s.whole
+            own = g.keep * own // g.whole
+            from_fast = (g.keep * from_fast + 2 * fa) // g.whole
+            from_slow = (g.keep * from_slow - 2 * sa) // g.whole
+            const = (g.keep * const + 2 * (fb - sb)) // g.whole
+        return [str(n) for n in (fa, fb, sa, sb, own, from_fast, from_slow, const)]
 
     def after(self, state, rest):
-        fa, fb, sa, sb, own, from_fast, from_slow, const = rest
-        fast, slow, signal = state[1], state[3], state[5]
+        fa, fb, sa, sb, own, from_fast, from_slow, const = [int(n) for n in rest]
+        fast, slow, signal = int(state[1]), int(state[3]), int(state[5])
         return [
-            state[0], fa * fast + fb,
-            state[2], sa * slow + sb,
-            state[4], own * signal + from_fast * fast + from_slow * slow + const,
+            state[0], str(times(fa, fast) + fb),
+            state[2], str(times(sa, slow) + sb),
+            state[4], str(times(own, signal) + times(from_fast, fast) + times(from_slow, slow) + const),
         ]
 
 
 PRECISION = 28  # significant digits of the decimal recurrences
+GUARDED = 64  # digits they are carried with, so that the 28 do not depend on how rows are cut
 CENT = Decimal("0.01")
 
 
+CUT = Context(prec=PRECISION)
+
+
 def _cents(x: Decimal) -> float:
-    return float(x.quantize(CENT, rounding=ROUND_HALF_UP))
+    return float(CUT.plus(x).quantize(CENT, ROUND_HALF_UP, CUT))
 
 
 class Rsi:
@@ -197,7 +237,7 @@ class Rsi:
         count, last = int(state[0]), (float(state[3]) if state[3] else None)
         gain, loss = Decimal(state[1]), Decimal(state[2])
         period, out = self.period, []
-        with localcontext(Context(prec=PRECISION)):
+        with localcontext(Context(prec=GUARDED)):
             for x in values:
                 if missing(x):
                     out.append(None)
@@ -226,11 +266,12 @@ class Rsi:
             return 100.0
         if gain == 0:
             return 0.0
-        return _cents(100 - Decimal(100) / (1 + gain / loss))
+        strength = CUT.divide(CUT.plus(gain), CUT.plus(loss))
+        return _cents(CUT.subtract(100, CUT.divide(100, CUT.add(1, strength))))
 
     def rest(self, values, last):
         keep, gain, loss, period = Decimal(1), Decimal(0), Decimal(0), self.period
-        with localcontext(Context(prec=PRECISION)):
+        with localcontext(Context(prec=GUARDED)):
             for x in values:
                 up, down = self._moves(x - last)
                 last = x
@@ -240,7 +281,7 @@ class Rsi:
         return [str(keep), str(gain), str(loss), repr(float(last))]
 
     def after(self, state, rest):
-        with localcontext(Context(prec=PRECISION)):
+        with localcontext(Context(prec=GUARDED)):
             keep = Decimal(rest[0])
             gain = keep * Decimal(state[1]) + Decimal(rest[1])
             loss = keep * Decimal(state[2]) + Decimal(rest[2])
@@ -267,7 +308,7 @@ class DecimalAverage:
 
     def run(self, pairs, state):
         out, level = [], (Decimal(state[0]) if state[0] else None)
-        with localcontext(Context(prec=PRECISION)):
+        with localcontext(Context(prec=GUARDED)):
             alpha = self._alpha()
             for pair in pairs:
                 if missing(pair[0]):
@@ -284,12 +325,12 @@ class DecimalAverage:
 
     def rest(self, pairs, last=None):
         a, b = Decimal(1), Decimal(0)
-        with localcontext(Context(prec=PRECISION)):
+        with localcontext(Context(prec=GUARDED)):
             alpha = self._alpha()
             for x, _ in pairs:
                 a, b = a * (1 - alpha), alpha * Decimal(str(x)) + (1 - alpha) * b
         return [str(a), str(b)]
 
     def after(self, state, rest):
-        with localcontext(Context(prec=PRECISION)):
+        with localcontext(Context(prec=GUARDED)):
             return [str(Decimal(rest[0]) * Decimal(state[0]) + Decimal(rest[1]))]

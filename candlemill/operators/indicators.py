@@ -10,11 +10,13 @@ from pyspark.sql import types as T
 
 from candlemill.functions.columns import half_up
 from candlemill.functions.recurrences import (
-    HEAD,
     Averages,
     DecimalAverage,
     Macd,
     Rsi,
+    doubles,
+    fixed,
+    level_of,
     trunc_half_up,
 )
 from candlemill.operators.chunks import (
@@ -29,8 +31,6 @@ from candlemill.operators.chunks import (
 )
 from candlemill.operators.ordered import scan
 
-DAY_HEAD = 128
-
 
 def sma(
     bars: DataFrame,
@@ -97,9 +97,7 @@ def ema(
             {names[0]: T.DoubleType()}, bucket_chunk(order, span), keys, [order],
         )
     outputs = {n: T.DoubleType() for n in names}
-    # A day's end is rounded before it is carried on. Days of up to DAY_HEAD bars (15-minute bars: 96)
-    # are gone through value by value, so that not even a last bit can tip that rounding.
-    averages = Averages(periods, seed, DAY_HEAD if scope == "day" else HEAD)
+    averages = Averages(periods, seed)
     if scope == "continuous":
         raw = scan(
             bars, averages, [value], outputs, bucket_chunk(order, span), keys, [order], lags=lags
@@ -112,8 +110,9 @@ def ema(
         start = averages.start()
         if next_day == day + 1 and not last_null:
             for i, n in enumerate(periods):
-                if state[2 * i] >= n:
-                    start[2 * i : 2 * i + 2] = [float(n), trunc_half_up(state[2 * i + 1], digits)]
+                if int(state[2 * i]) >= n:
+                    end = trunc_half_up(doubles([level_of(state[2 * i + 1])])[0], digits)
+                    start[2 * i : 2 * i + 2] = [str(n), str(fixed(end))]
         return start
 
     given = None
@@ -121,8 +120,8 @@ def ema(
         newest = F.max(F.struct("landing_date", order, *names)).alias("_last")
         state = F.array(*[
             part for n, period in zip(names, periods) for part in (
-                F.when(F.col(n).isNotNull(), float(period)).otherwise(0.0),
-                F.coalesce(F.col(n), F.lit(0.0)),
+                F.when(F.col(n).isNotNull(), str(period)).otherwise("0"),
+                F.coalesce(F.col(n), F.lit(0.0)).cast("string"),
             )
         ])
         given = previous.groupBy(*keys).agg(newest).select(*keys, "_last.*").select(

@@ -18,7 +18,9 @@ from candlemill.session import stage
 
 DIGITS = 4
 STATE = T.StructType()
-for _field in ("count7", "level7", "count20", "level20", "prev_open", "prev_close"):
+for _field in ("count7", "level7", "count20", "level20"):
+    STATE = STATE.add(_field, "string")
+for _field in ("prev_open", "prev_close"):
     STATE = STATE.add(_field, "double")
 
 

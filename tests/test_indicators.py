@@ -77,7 +77,7 @@ def test_macd_starts(spark, n):
 
 
 def test_macd_below_zero_is_cut_toward_zero(spark):
-    values = [100 - 0.37 * i for i in range(60)]
+    values = [100 - 0.371 * i for i in range(60)]
     got = macd(closes(spark, values), span=70)
     want = slow_macd(values)
     for name, series in zip(("ema12", "ema26", "macd", "signal", "histogram"), want):
