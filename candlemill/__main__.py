@@ -2,7 +2,7 @@
 
     day    --source 's3a://lake/in/*.zip' --root s3a://lake --date 2025-10-01 [--symbols BTCUSDT]
     range  --source ... --root ... --start 2025-10-01 --end 2025-10-31 [--scope continuous]
-    stream --servers kafka:9092 --topic aggtrades-topic --alerts-topic engulfings-topic --root ...
+    stream --servers kafka:9092 --topic aggtrades-topic --partitions 0 1 2 3 --alerts-topic engulfings-topic --root ...
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from datetime import date
 
 from candlemill.plans.jobs import run_range
 from candlemill.session import drop_staged, session
-from candlemill.sources.streams import read_trades_stream, topic_options
+from candlemill.sources.streams import read_trades_by_partition
 from candlemill.streaming.jobs import start_pattern_job
 
 
@@ -26,6 +26,7 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
         job.add_argument("--root", required=True)
         job.add_argument("--symbols", nargs="*")
         job.add_argument("--interval", type=int, default=900)
+        job.add_argument("--format", choices=("csv", "zip"))
         job.add_argument("--unit", default="us", choices=("s", "ms", "us", "ns"))
         job.add_argument("--ids-follow-time", action="store_true")
         if name == "day":
@@ -37,6 +38,9 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     stream = jobs.add_parser("stream")
     stream.add_argument("--servers", required=True)
     stream.add_argument("--topic", required=True)
+    # each partition has a watermark of its own: a symbol that runs behind loses nothing
+    stream.add_argument("--partitions", type=int, nargs="+", required=True)
+    stream.add_argument("--max-offsets", type=int, help="messages of a partition in one micro-batch")
     stream.add_argument("--alerts-topic", required=True)
     stream.add_argument("--root", required=True)
     stream.add_argument("--interval", default="15 minutes")
@@ -49,7 +53,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     args = arguments(argv)
     spark = session(f"candlemill {args.job}")
     if args.job == "stream":
-        trades = read_trades_stream(spark, options=topic_options(args.servers, args.topic))
+        trades = read_trades_by_partition(
+            spark, args.servers, args.topic, args.partitions, max_offsets=args.max_offsets)
         start_pattern_job(
             trades, f"{args.root}/klines", f"{args.root}/engulfings", args.alerts_topic,
             f"{args.root}/checkpoint", args.interval, args.delay, alerts_format="kafka",
@@ -57,11 +62,13 @@ def main(argv: Sequence[str] | None = None) -> None:
         ).awaitTermination()
         return
     start, end = (args.date, args.date) if args.job == "day" else (args.start, args.end)
-    run_range(
-        spark, args.source, args.root, start, end, args.symbols or None,
-        getattr(args, "scope", "day"), args.interval, args.unit, args.ids_follow_time,
-    )
-    drop_staged(spark)
+    try:
+        run_range(
+            spark, args.source, args.root, start, end, args.symbols or None,
+            getattr(args, "scope", "day"), args.interval, args.unit, args.ids_follow_time, args.format,
+        )
+    finally:
+        drop_staged(spark)
 
 
 if __name__ == "__main__":

@@ -15,7 +15,8 @@ warm-up through, so summaries can be applied in order without the rows.
 A state reached through summaries and one reached value by value are two sums of the same terms, and in
 doubles they would differ in a last place, which on flat prices never goes away and decides ties. So levels are
 fixed-point integers of ``SHIFT`` binary places: the two differ some sixty decimal places down, and what
-comes out is rounded to a double once. A flat series stands still, and no result depends on how rows are cut.
+comes out is rounded to a double once. A flat series comes to a stand in a few steps, and no result depends on how
+rows are cut.
 
 State is a flat list of strings, which hold integers or decimals of any length.
 """
@@ -23,6 +24,7 @@ State is a flat list of strings, which hold integers or decimals of any length.
 from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Context, Decimal, localcontext
+from sys import maxsize
 
 HEAD = 64
 SHIFT = 200
@@ -57,29 +59,35 @@ def times(coefficient: int, level: int) -> int:
 class Average:
     """One exponential average, started from the mean of its first ``period`` values.
 
-    The weight of a new value is 2 / (period + 1), so a step is (the level times (period - 1) plus twice the
-    value) / (period + 1).
+    Early levels are short decimals, which are often ties of a rounding, and the last places of a fold in doubles
+    decide those. So the first values (``settled`` of them) are folded in doubles, the plain way; from then on
+    the weight of a new value being 2 / (period + 1), a step is (the level times (period - 1) plus twice the value) /
+    (period + 1).
     """
 
     def __init__(self, period: int):
         self.period, self.keep, self.whole = period, period - 1, period + 1
+        self.weight, self.settled = 2 / (period + 1), max(HEAD, period)
+
+    def early(self, x: float, count: int, level: float) -> float:
+        """The level after one of the first values; before the mean is full, a sum."""
+        if count >= self.period:
+            return (x - level) * self.weight + level
+        return (level + x) / self.period if count + 1 == self.period else level + x
 
     def run(self, values, count, level):
         """``values`` and the levels given out are fixed-point integers (or None)."""
-        out, period, keep, whole = [], self.period, self.keep, self.whole
+        out, period, keep, whole, settled = [], self.period, self.keep, self.whole, self.settled
         for x in values:
             if x is None:
                 out.append(None)
-            elif count >= period:
+                continue
+            if count >= settled:
                 level = (keep * level + 2 * x) // whole
-                out.append(level)
             else:
-                count, level = count + 1, level + x
-                if count == period:
-                    level //= period
-                    out.append(level)
-                else:
-                    out.append(None)
+                level = fixed(self.early(x / ONE, count, level / ONE))
+                count += 1
+            out.append(level if count >= period else None)
         return out, count, level
 
     def rest(self, values):
@@ -92,16 +100,12 @@ class Average:
 class FirstValueAverage(Average):
     """Started from the first value, with no warm-up."""
 
-    def run(self, values, count, level):
-        out, keep, whole = [], self.keep, self.whole
-        for x in values:
-            if x is None:
-                out.append(None)
-                continue
-            level = (keep * level + 2 * x) // whole if count else x
-            count = 1
-            out.append(level)
-        return out, count, level
+    def __init__(self, period: int):
+        super().__init__(period)
+        self.period = 1
+
+    def early(self, x, count, level):
+        return self.weight * x + (1 - self.weight) * level if count else x
 
 
 def fixed_values(values) -> list[int | None]:
@@ -153,6 +157,43 @@ class Averages:
         return end
 
 
+class DayAverages:
+    """Exponential averages that are rounded at the end of each day and go on from there.
+
+    Levels become short decimals overnight, so ties are common and the reference fold's own last places decide
+    them. These are therefore plain doubles, value by value. Days are never cut, and nothing is summarised: what stands
+    for a day is its values. State per average: values seen, level.
+    """
+
+    state_type = "double"
+    head = maxsize
+
+    def __init__(self, periods):
+        self.periods = list(periods)
+
+    def start(self):
+        return [0.0, 0.0] * len(self.periods)
+
+    def run(self, values, state):
+        outputs, end = [], []
+        for i, period in enumerate(self.periods):
+            count, level, weight, out = state[2 * i], state[2 * i + 1], 2 / (period + 1), []
+            for x in values:
+                if x is None or x != x:
+                    out.append(None)
+                elif count >= period:
+                    level = (x - level) * weight + level
+                    out.append(level)
+                else:
+                    count, level = count + 1, level + x
+                    if count == period:
+                        level /= period
+                    out.append(level if count == period else None)
+            outputs.append(out)
+            end += [float(count), float(level)]
+        return outputs, end
+
+
 class Macd:
     """MACD line, its signal and their difference. State: three averages (fast, slow, signal)."""
 
@@ -160,7 +201,8 @@ class Macd:
 
     def __init__(self, fast: int = 12, slow: int = 26, signal: int = 9):
         self.fast, self.slow, self.signal = Average(fast), Average(slow), Average(signal)
-        self.head = max(HEAD, fast + signal, slow + signal)
+        # the signal's first value comes with the slow average's
+        self.head = max(self.fast.settled, self.slow.settled, max(fast, slow) + self.signal.settled)
 
     def start(self):
         return ["0"] * 6

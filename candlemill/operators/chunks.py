@@ -22,7 +22,6 @@ from candlemill.session import stage
 
 SPAN = 4096
 BLOCK = 1024
-MAX_PIECES = 20_000
 CHUNK = "_chunk"
 HALO = "_halo"
 
@@ -41,7 +40,7 @@ def range_chunks(
     within a sorted piece rows are counted off. The cut depends on a sample, so the result is written before it is used: every later pass, and
     every retry, sees the same chunks.
     """
-    pieces = min(max(1, ceil(df.count() / piece_rows)), MAX_PIECES)
+    pieces = max(1, ceil(df.count() / piece_rows))
     cut = df.repartitionByRange(pieces, *keys, *order).sortWithinPartitions(*keys, *order)
     return stage(cut.withColumn(CHUNK, floor_div(F.monotonically_increasing_id(), chunk_rows)), "chunks")
 
@@ -88,21 +87,3 @@ def chunk_window(keys: Sequence[str] = ("symbol",), order: str = "group_id"):
 
 def without_halo(df: DataFrame) -> DataFrame:
     return df.where(~F.col(HALO)).drop(HALO)
-
-
-def with_previous(
-    bars: DataFrame,
-    lags: dict[str, tuple[str, int]],
-    keys: Sequence[str] = ("symbol",),
-    order: str = "group_id",
-    span: int = SPAN,
-) -> DataFrame:
-    """Add ``name: (column, k)``: the column's value ``k`` bars earlier (bars, not buckets).
-
-    ``CHUNK`` is left in, so that a following step over chunks finds its rows already together.
-    """
-    depth = max(k for _, k in lags.values())
-    needed = sorted({c for c, _ in lags.values()})
-    w = chunk_window(keys, order)
-    led = with_halo(bars, depth, needed, keys, order, span)
-    return without_halo(led.withColumns({n: F.lag(c, k).over(w) for n, (c, k) in lags.items()}))

@@ -11,12 +11,10 @@ from pyspark.sql import types as T
 from candlemill.functions.columns import half_up
 from candlemill.functions.recurrences import (
     Averages,
+    DayAverages,
     DecimalAverage,
     Macd,
     Rsi,
-    doubles,
-    fixed,
-    level_of,
     trunc_half_up,
 )
 from candlemill.operators.chunks import (
@@ -97,7 +95,7 @@ def ema(
             {names[0]: T.DoubleType()}, bucket_chunk(order, span), keys, [order],
         )
     outputs = {n: T.DoubleType() for n in names}
-    averages = Averages(periods, seed)
+    averages = DayAverages(periods) if scope == "day" else Averages(periods, seed)
     if scope == "continuous":
         raw = scan(
             bars, averages, [value], outputs, bucket_chunk(order, span), keys, [order], lags=lags
@@ -110,9 +108,8 @@ def ema(
         start = averages.start()
         if next_day == day + 1 and not last_null:
             for i, n in enumerate(periods):
-                if int(state[2 * i]) >= n:
-                    end = trunc_half_up(doubles([level_of(state[2 * i + 1])])[0], digits)
-                    start[2 * i : 2 * i + 2] = [str(n), str(fixed(end))]
+                if state[2 * i] >= n:
+                    start[2 * i : 2 * i + 2] = [float(n), trunc_half_up(state[2 * i + 1], digits)]
         return start
 
     given = None
@@ -120,8 +117,8 @@ def ema(
         newest = F.max(F.struct("landing_date", order, *names)).alias("_last")
         state = F.array(*[
             part for n, period in zip(names, periods) for part in (
-                F.when(F.col(n).isNotNull(), str(period)).otherwise("0"),
-                F.coalesce(F.col(n), F.lit(0.0)).cast("string"),
+                F.when(F.col(n).isNotNull(), float(period)).otherwise(0.0),
+                F.coalesce(F.col(n), F.lit(0.0)),
             )
         ])
         given = previous.groupBy(*keys).agg(newest).select(*keys, "_last.*").select(

@@ -44,8 +44,11 @@ def latest(df: DataFrame, n: int, order: Sequence[str] = ("timestamp", "agg_trad
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 
-def sample_trades(df: DataFrame, fraction: float = 0.001, seed: int = 42) -> DataFrame:
-    return df.sample(fraction=fraction, seed=seed)
+def sample_trades(df: DataFrame, fraction: float = 0.001, key: str = "agg_trade_id", seed: int = 42) -> DataFrame:
+    """About ``fraction`` of the rows, chosen by a hash of ``key``: the same however the input is partitioned."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    drawn = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return df.where(drawn < int(fraction * (1 << 32)))
 
 
 def matching(

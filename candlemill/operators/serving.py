@@ -20,9 +20,12 @@ def chart_series(
 ) -> DataFrame:
     """One symbol's bars between two times, with the close repeated where a pattern was found.
 
-    A bound that is no timestamp becomes null and leaves no rows, as a failed parse should.
+    A bound that is no timestamp becomes null and leaves no rows, as a failed parse should. Tables stored by
+    ``landing_date`` are only opened at the days between the bounds.
     """
     bounds = [F.try_to_timestamp(F.lit(t)) for t in (t_from, t_to)]
+    if "landing_date" in rows.columns:
+        rows = rows.where(F.col("landing_date").between(*[b.cast("date") for b in bounds]))
     return (
         rows.where((F.col("symbol") == symbol) & F.col(time).between(*bounds))
         .select(

@@ -17,10 +17,12 @@ from candlemill.operators.projections import (
     add_time_bucket,
     tag_run,
 )
+from candlemill.schemas import TRADE
 from candlemill.session import stage
 from candlemill.sinks.tables import PARTITIONS, upsert_partitions, write_landing
 from candlemill.sources.files import between_dates, read_trades_csv, read_trades_zip
 
+READERS = {"csv": read_trades_csv, "zip": read_trades_zip}
 LANDING, TRADES = "landing/aggtrades", "transform/aggtrades"
 BARS, PATTERNS = "serving/klines", "serving/pattern_two"
 
@@ -31,14 +33,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def land(spark: SparkSession, source: str, root: str, start=None, end=None,
-         symbols: Sequence[str] | None = None, unit: str = "us") -> None:
+         symbols: Sequence[str] | None = None, unit: str = "us", format: str | None = None) -> None:
     """Files or archives into the landing folder, any number of symbols and days at once.
 
     Names carry the symbol and the day; trades of a file without a day in its name (a month file) are
     landed by the day they happened.
+
+    ``format`` is ``csv`` or ``zip``; it may be left out where the path ends in one of these. A row of which no
+    field parses means that the input is no trade file, and fails the job.
     """
-    read = read_trades_zip if source.endswith(".zip") else read_trades_csv
-    trades = read(spark, source, tag_from_name=True)
+    format = format or source.lower().rpartition(".")[2]
+    if format not in READERS:
+        raise ValueError(f"state the format of {source}: csv or zip")
+    trades = READERS[format](spark, source, tag_from_name=True)
+    unreadable = F.forall(F.array(*[F.col(n).isNull() for n in TRADE.names]), lambda x: x)
+    trades = trades.where(F.when(unreadable, F.raise_error(F.lit(f"no field of a row in {source} parses"))).otherwise(F.lit(True)))
     named, outside = F.col("landing_date"), F.lit(False)
     if start is not None:
         outside = outside | (named < F.lit(str(start)).cast("date"))
@@ -97,10 +106,10 @@ def find_patterns(spark: SparkSession, root: str, start: date | None = None,
 def run_range(spark: SparkSession, source: str, root: str, start: date | None = None,
               end: date | None = None, symbols: Sequence[str] | None = None, scope: str = "day",
               interval_s: int = BAR_SECONDS, unit: str = "us",
-              ids_follow_time: bool = False) -> None:
+              ids_follow_time: bool = False, format: str | None = None) -> None:
     """All days of a range in one pass per table; ``scope="continuous"`` carries averages over days
     without the daily rounding and reset, as a job over a whole month does."""
-    land(spark, source, root, start, end, symbols, unit)
+    land(spark, source, root, start, end, symbols, unit, format)
     transform(spark, root, start, end, symbols, interval_s, unit, ids_follow_time)
     find_patterns(spark, root, start, end, symbols, scope)
 

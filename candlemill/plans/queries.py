@@ -18,6 +18,7 @@ from candlemill.session import fresh_path, prepare, stage
 from candlemill.sinks import (
     encode_alerts,
     encode_trades,
+    rejected_trades,
     upsert_partitions,
     write_landing,
     write_stream_files,
@@ -31,9 +32,10 @@ from candlemill.streaming import (
     start_pattern_job,
     state_partitions,
     stream_klines,
+    union_by_symbol,
 )
 
-HOUR, DAY = 3600, 86400
+MINUTE, HOUR, DAY = 60, 3600, 86400
 EVENT_PARTITIONS = {"click": 0, "error": 1, "purchase": 2, "view": 3}
 ALL_EVENT_PARTITIONS = EVENT_PARTITIONS | {"signup": 4}
 
@@ -252,6 +254,51 @@ def trend_counts(spark, folder):
     return rows.groupBy("symbol", "trend").agg(F.count(F.lit(1)).alias("bars"))
 
 
+# ---- the same over one-minute bars, which cross the borders of chunks --------------------------------
+
+def minutes(spark: SparkSession, folder: str) -> DataFrame:
+    return stage(op.klines(events(spark, folder), MINUTE, ids_follow_time=True), "bars")
+
+
+def minutes_by_day(spark: SparkSession, folder: str) -> DataFrame:
+    return stage(op.klines(dated_events(spark, folder), MINUTE, ("landing_date", "symbol")), "bars")
+
+
+def sma_minutes(spark, folder):
+    return _of_bar(op.sma(minutes(spark, folder)), "sma7")
+
+
+def ema_minutes(spark, folder):
+    return _of_bar(op.ema(minutes(spark, folder)), "close_price", "ema7", "ema20")
+
+
+def day_carry_minutes(spark, folder):
+    return _of_bar(op.ema(minutes_by_day(spark, folder), scope="day"), "landing_date", "ema7", "ema20")
+
+
+def rsi_minutes(spark, folder):
+    return _of_bar(op.rsi(minutes(spark, folder)), "rsi6")
+
+
+def macd_minutes(spark, folder):
+    return _of_bar(op.macd(minutes(spark, folder)), "ema12", "ema26", "macd", "signal", "histogram")
+
+
+def engulfing_minutes(spark, folder):
+    return op.pattern_two(minutes(spark, folder), scope="continuous")
+
+
+def stars_minutes(spark, folder):
+    return op.pattern_three(minutes(spark, folder))
+
+
+def flat_trend_minutes(spark, folder):
+    """Prices in steps of 25, so that they stand still for stretches; trend on unrounded averages, short chunks."""
+    steps = F.floor(F.col("price") / 25) * 25 + F.lit(1.1)
+    bars = stage(op.klines(events(spark, folder).withColumn("price", steps), MINUTE, ids_follow_time=True), "bars")
+    return _of_bar(op.with_trend(bars, digits=4, on="raw", span=512), "close_price", "ema7", "ema20", "trend")
+
+
 # ---- patterns and serving -----------------------------------------------------------------------
 
 def pattern_hammer(spark, folder):
@@ -287,7 +334,9 @@ def plot_sma(spark, folder):
 
 
 def chart_series(spark, folder):
-    rows = bounded_pattern_job(event_stream_rows(spark, folder), HOUR)
+    """The symbol comes first: bars and averages of the others are not worked out."""
+    clicks = event_stream_rows(spark, folder).where(F.col("symbol") == "click")
+    rows = bounded_pattern_job(clicks, HOUR)
     return op.chart_series(rows, "click", "2024-01-05", "2024-01-20 12:00:00")
 
 
@@ -358,12 +407,18 @@ def day_jobs(spark, folder):
 # ---- messages and streams -----------------------------------------------------------------------
 
 def encode_trade_messages(spark, folder):
-    messages = encode_trades(text_events(spark, folder), EVENT_PARTITIONS)
+    messages = encode_trades(text_events(spark, folder), ALL_EVENT_PARTITIONS)
     return messages.select(
         "key", "partition", F.from_json("value", TRADE_MESSAGE).alias("m")
     ).select("key", "partition", "m.*")
 
 
+def rejected_trade_counts(spark, folder):
+    """With a map that lacks a symbol, and rows that do not parse."""
+    rejected = rejected_trades(text_events(spark, folder), EVENT_PARTITIONS)
+    return rejected.groupBy("symbol", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def encode_alert_messages(spark, folder):
     rows = bounded_pattern_job(event_stream_rows(spark, folder), HOUR)
     messages = encode_alerts(op.only_patterns(rows, "engulfing_pattern"))
@@ -397,6 +452,32 @@ def stream_bars(spark, folder):
     return spark.read.parquet(f"{out}/rows")
 
 
+def stream_slow_symbol(spark, folder):
+    """A stream per symbol, one small file of each at a time. One symbol comes in twice as many files, and so
+    runs days behind the others in event time; nothing of it is lost."""
+    trades = event_stream_rows(prepare(spark), folder)
+    root, streams = fresh_path(spark, "by-symbol"), []
+    for symbol in ALL_EVENT_PARTITIONS:
+        files = 6 if symbol == "signup" else 3
+        span = 30 * DAY * 1_000_000 // files
+        first = 1_704_067_200_000_000  # 2024-01-01, where the events begin
+        part = F.least(F.greatest(F.floor((F.col("ts_int") - first) / span), F.lit(0)), F.lit(files - 1))
+        own = trades.where(F.col("symbol") == symbol).withColumn("_part", part)
+        for i in range(files):  # one after the other: the source takes files by age
+            own.where(F.col("_part") == i).drop("_part", "ts").coalesce(1).write.mode("append").json(f"{root}/{symbol}")
+        options = {"maxFilesPerTrigger": "1"}
+        streams.append(read_trades_stream(spark, f"{root}/{symbol}", "json", options=options))
+    bars = stream_klines(union_by_symbol(streams), "1 hour", delay=None)
+    writer = (
+        bars.writeStream.outputMode("append").format("parquet").option("path", f"{root}/rows")
+        .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True)
+    )
+    with state_partitions(spark, _slots(spark)):
+        query = writer.start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/rows")
+
+
 def _run_pattern_job(spark, folder) -> str:
     trades = read_trades_stream(spark, message_folder(prepare(spark), folder), "json")
     out = fresh_path(spark, "stream-patterns")
@@ -435,10 +516,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tag_columns, row_counts, partition_counts, null_profile, describe_trades, symbols, last_bar,
         latest_trades, sample_trades, paged_listing, page_total, unequal_matches, backfill_nulls,
         cast_trades, sma7, ma7_full, ema7_ema20, ema_first_seed, ema_column_seed, ema_day_carry,
-        ema_chunked, rsi6, macd, trend_counts, pattern_hammer, pattern_engulfing,
+        ema_chunked, rsi6, macd, trend_counts, sma_minutes, ema_minutes, day_carry_minutes, rsi_minutes,
+        macd_minutes, engulfing_minutes, stars_minutes, flat_trend_minutes, pattern_hammer, pattern_engulfing,
         pattern_engulfing_raw, pattern_engulfing_day, pattern_stars, only_patterns, plot_bars,
         plot_sma, chart_series, csv_ingest, zip_ingest, landing_read, upsert_rows, day_jobs,
-        encode_trade_messages, encode_alert_messages, bounded_engulfing, stream_bars,
+        stream_slow_symbol, encode_trade_messages, rejected_trade_counts, encode_alert_messages, bounded_engulfing, stream_bars,
         stream_engulfing, stream_alerts, stream_copy,
     )
 }

@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # streams that are joined wait for the slowest one, so none of its rows are late
+    "spark.sql.streaming.multipleWatermarkPolicy": "min",
 }
 
 

@@ -21,12 +21,13 @@ def write_stream_files(
 def write_bars_sink(batch: DataFrame, path: str, batch_id: int) -> None:
     """Append one micro-batch of bars or pattern rows, with the day it was created.
 
-    The batch number is a partition, so a batch that is run again replaces its own rows only.
+    The batch number is a partition below the day, so a batch that is run again replaces its own rows only, and a
+    day has as many folders as micro-batches, however many symbols there are. Rows lie together by symbol.
     """
     rows = batch.withColumns({"created_at": F.current_date(), "batch_id": F.lit(batch_id)})
     (
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("symbol", "landing_date", "batch_id").parquet(path)
+        rows.sortWithinPartitions("landing_date", "symbol").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("landing_date", "batch_id").parquet(path)
     )
 
 

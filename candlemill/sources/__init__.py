@@ -11,11 +11,12 @@ from candlemill.sources.streams import (
     read_bars_stream,
     read_patterns_stream,
     read_topic,
+    read_trades_by_partition,
     read_trades_stream,
     topic_options,
 )
 
 __all__ = [
     "between_dates", "read_bars_stream", "read_landing", "read_patterns_stream", "read_text_trades",
-    "read_topic", "read_trades_csv", "read_trades_stream", "read_trades_zip", "topic_options",
+    "read_topic", "read_trades_by_partition", "read_trades_csv", "read_trades_stream", "read_trades_zip", "topic_options",
 ]

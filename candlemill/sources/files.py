@@ -73,11 +73,10 @@ def read_trades_zip(spark: SparkSession, path: str, tag_from_name: bool = False)
     return trades_in_archives(archives, tag_from_name)
 
 
-def read_text_trades(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+def read_text_trades(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, for ``cast_trades``."""
     names = ", ".join(f"{n} string" for n in TRADE.names)
-    rows = spark.read.schema(names).option("header", "false").csv(path)
-    return rows if limit is None else rows.limit(limit)
+    return spark.read.schema(names).option("header", "false").csv(path)
 
 
 def read_landing(

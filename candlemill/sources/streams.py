@@ -15,10 +15,15 @@ from candlemill.sources.files import name_tags
 
 
 def topic_options(
-    servers: str, topic: str, partitions: Sequence[int] | None = None
+    servers: str, topic: str, partitions: Sequence[int] | None = None, max_offsets: int | None = None
 ) -> dict[str, str]:
-    """Options of a topic read from its beginning, all of it or chosen partitions."""
+    """Options of a topic read from its beginning, all of it or chosen partitions.
+
+    ``max_offsets`` bounds a micro-batch, so that a long backlog is not taken in one.
+    """
     options = {"kafka.bootstrap.servers": servers, "startingOffsets": "earliest"}
+    if max_offsets is not None:
+        options["maxOffsetsPerTrigger"] = str(max_offsets)
     if partitions is None:
         return options | {"subscribe": topic}
     return options | {"assign": json.dumps({topic: list(partitions)})}
@@ -28,10 +33,16 @@ def read_topic(
     spark: SparkSession, servers: str, topic: str,
     partitions: Sequence[int] | None = None, max_messages: int | None = None,
 ) -> DataFrame:
-    """A bounded look at a topic: its first messages, as text."""
-    rows = spark.read.format("kafka").options(**topic_options(servers, topic, partitions)).load()
-    rows = rows.select("partition", "offset", F.col("value").cast("string").alias("value"))
-    return rows if max_messages is None else rows.orderBy("partition", "offset").limit(max_messages)
+    """A look at a topic as text, all of it or, of chosen partitions, the messages at offsets below
+    ``max_messages``: nothing beyond them is read. (A partition whose first messages have expired begins later.)
+    """
+    options = topic_options(servers, topic, partitions)
+    if max_messages is not None:
+        if partitions is None:
+            raise ValueError("max_messages needs the partitions it applies to")
+        options["endingOffsets"] = json.dumps({topic: {str(p): max_messages for p in partitions}})
+    rows = spark.read.format("kafka").options(**options).load()
+    return rows.select("partition", "offset", F.col("value").cast("string").alias("value"))
 
 
 def _messages(spark: SparkSession, source: str, format: str, options: dict) -> DataFrame:
@@ -78,6 +89,17 @@ def read_trades_stream(
     return rows.withColumn("ts", event_time("ts_int", unit))
 
 
+def read_trades_by_partition(
+    spark: SparkSession, servers: str, topic: str, partitions: Sequence[int], unit: str = "us",
+    max_offsets: int | None = None,
+) -> list[DataFrame]:
+    """One stream per topic partition (a symbol each), for ``start_pattern_job``; ``max_offsets`` for each."""
+    return [
+        read_trades_stream(spark, unit=unit, options=topic_options(servers, topic, [p], max_offsets))
+        for p in partitions
+    ]
+
+
 def read_bars_stream(
     spark: SparkSession, path: str, symbol: str | None = None, options: dict | None = None
 ) -> DataFrame:

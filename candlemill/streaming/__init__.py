@@ -6,10 +6,11 @@ from candlemill.streaming.jobs import (
     start_pattern_job,
     state_partitions,
     stream_metrics,
+    watch_progress,
 )
 from candlemill.streaming.patterns import EngulfingProcessor, bounded_patterns, stream_patterns
 
 __all__ = [
     "EngulfingProcessor", "bounded_pattern_job", "bounded_patterns", "start_pattern_job",
-    "state_partitions", "stream_klines", "stream_metrics", "stream_patterns", "union_by_symbol",
+    "state_partitions", "stream_klines", "stream_metrics", "stream_patterns", "union_by_symbol", "watch_progress",
 ]

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from candlemill.operators.projections import only_patterns
 from candlemill.schemas import STREAM_BAR
 from candlemill.sinks.messages import encode_alerts
 from candlemill.sinks.streams import write_bars_sink, write_messages
-from candlemill.streaming.bars import stream_klines
+from candlemill.streaming.bars import stream_klines, union_by_symbol
 from candlemill.streaming.patterns import bounded_patterns, stream_patterns
 
 
 def start_pattern_job(
-    trades: DataFrame,
+    trades: DataFrame | Sequence[DataFrame],
     bars_path: str,
     patterns_path: str,
     alerts_target: str,
@@ -31,7 +32,11 @@ def start_pattern_job(
     once: bool = False,
     parallelism: int | None = None,
 ) -> StreamingQuery:
-    """Start it. Bars are columns of the pattern rows, so a micro-batch is computed once, kept, and
+    """Start it. ``trades`` is one stream, whose symbols must keep pace with one another, or a list of streams, one
+    for each symbol or topic partition: each then has a watermark of its own and the slowest one counts,
+    so that a symbol that runs hours behind loses nothing.
+
+    Bars are columns of the pattern rows, so a micro-batch is computed once, kept, and
     written three times; each write can be repeated after a failure without doubling rows (a topic
     gets at-least-once). ``once`` takes what is there now and stops: windows the watermark has not
     passed stay open, so for input that has an end use ``bounded_pattern_job``.
@@ -51,6 +56,9 @@ def start_pattern_job(
         finally:
             rows.unpersist()
 
+    if not isinstance(trades, DataFrame):
+        trades, delay = union_by_symbol(trades, delay or "0 seconds"), None
+    watch_progress(trades.sparkSession)
     patterns = stream_patterns(stream_klines(trades, interval, delay))
     writer = patterns.writeStream.outputMode("append").foreachBatch(fan_out)
     writer = writer.option("checkpointLocation", checkpoint)
@@ -77,12 +85,55 @@ def bounded_pattern_job(trades: DataFrame, interval_s: int = 900) -> DataFrame:
     return bounded_patterns(bars, interval_s)
 
 
-def stream_metrics(query: StreamingQuery) -> dict[str, int]:
-    """Rows read, and rows dropped because their window had closed, since the query started."""
-    progress = query.recentProgress
-    return {
-        "rows_read": sum(p.numInputRows for p in progress),
-        "rows_dropped_late": sum(
-            s.numRowsDroppedByWatermark for p in progress for s in p.stateOperators
-        ),
-    }
+class ProgressTotals(StreamingQueryListener):
+    """Adds up what every micro-batch of every query reports (Spark keeps only the last hundred reports)."""
+
+    def __init__(self):
+        self.of: dict[str, dict[str, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        own = self.of.setdefault(str(p.runId), {"rows_read": 0, "rows_dropped_late": 0, "batch": -1})
+        own["rows_read"] += p.numInputRows
+        own["rows_dropped_late"] += sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        own["batch"] = p.batchId
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+_totals: dict[str, ProgressTotals] = {}
+
+
+def watch_progress(spark: SparkSession) -> ProgressTotals:
+    """Count the progress of all queries that this session starts from now on."""
+    app = spark.sparkContext.applicationId
+    if app not in _totals:
+        _totals[app] = ProgressTotals()
+        spark.streams.addListener(_totals[app])
+    return _totals[app]
+
+
+def stream_metrics(query: StreamingQuery, patience_s: float = 10.0) -> dict[str, int]:
+    """Rows read, and rows dropped because their window had closed, since the query started.
+
+    ``watch_progress`` must have been called before the start (``start_pattern_job`` does). Reports reach it a
+    moment after their micro-batch, so this waits for the latest.
+    """
+    session = SparkSession.active()
+    totals = _totals.get(session.sparkContext.applicationId)
+    if totals is None:
+        raise RuntimeError("call watch_progress before starting the query")
+    last, until = query.lastProgress, time.monotonic() + patience_s
+    nothing = {"rows_read": 0, "rows_dropped_late": 0, "batch": -1}
+    while (found := totals.of.get(str(query.runId), nothing))["batch"] < (last.batchId if last else -1):
+        if time.monotonic() > until:
+            raise TimeoutError("the latest report has not arrived")
+        time.sleep(0.05)
+    return {n: found[n] for n in ("rows_read", "rows_dropped_late")}

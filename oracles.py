@@ -335,10 +335,17 @@ SELECT agg_trade_id, CASE WHEN symbol = 'click' THEN -price ELSE price END AS pr
 SELECT symbol, landing_date, group_id, close_price, ema7, ema20, trend, {ENGULFING} AS pattern FROM x""",
     "encode_trade_messages": f"""WITH {TRADES}
 SELECT symbol AS key,
-       CAST(CASE symbol WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END AS INTEGER) AS partition,
+       CAST(CASE symbol WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'view' THEN 3 ELSE 4 END AS INTEGER) AS partition,
        agg_trade_id, price, quantity, agg_trade_id AS first_trade_id, agg_trade_id AS last_trade_id,
        "timestamp" AS ts_int, is_buyer_maker, true AS is_best_match, symbol
-FROM t WHERE agg_trade_id % 10 <> 0 AND symbol <> 'signup'""",
+FROM t WHERE agg_trade_id % 10 <> 0""",
+    "rejected_trade_counts": f"""WITH {TRADES}
+SELECT symbol, CASE WHEN symbol = 'signup' THEN 'symbol without a partition' ELSE 'price does not parse' END AS reason,
+       count(*) AS rows
+FROM t WHERE symbol = 'signup' OR agg_trade_id % 10 = 0 GROUP BY ALL""",
+    "sample_trades": f"""WITH {TRADES}
+SELECT agg_trade_id, price, quantity, "timestamp", is_buyer_maker, symbol FROM t
+WHERE CAST('0x' || md5('42:' || agg_trade_id)[1:8] AS BIGINT) < {int(0.01 * (1 << 32))}""",
     "encode_alert_messages": f"""{STREAM_X}
 SELECT symbol AS key, * FROM z WHERE engulfing_pattern IS NOT NULL""",
     "bounded_engulfing": f"{STREAM_X} SELECT * FROM z",
@@ -350,3 +357,42 @@ SELECT window_start, window_end, symbol, landing_date, open_price, high_price, l
     "stream_copy": f"""WITH {TRADES}
 SELECT agg_trade_id, price, "timestamp" AS ts_int, symbol FROM t""",
 }
+
+# The same over one-minute bars, where a symbol has about eleven chunks of them.
+MINUTE = 60_000_000
+for _name, _of in {
+    "sma_minutes": "sma7", "ema_minutes": "ema7_ema20", "day_carry_minutes": "ema_day_carry", "rsi_minutes": "rsi6",
+    "macd_minutes": "macd", "engulfing_minutes": "pattern_engulfing", "stars_minutes": "pattern_stars",
+}.items():
+    ORACLES[_name] = ORACLES[_of].replace(str(HOUR), str(MINUTE))
+
+# Levels as integers of 1e-20, so that a flat price stands still here as well; the averages of equal values
+# are equal, and there is no trend then.
+_UNIT = "CAST(100000000000000000000 AS HUGEINT)"
+
+
+def _whole(period: int, level: str) -> str:
+    return (f"CASE WHEN e.rn >= {period} THEN ({period - 1} * e.{level} + 2 * n.x) // {period + 1} "
+            f"WHEN e.rn + 1 = {period} THEN (e.{level} + n.x) // {period} ELSE e.{level} + n.x END")
+
+
+ORACLES["flat_trend_minutes"] = f"""WITH RECURSIVE {TRADES.replace("value AS price", "floor(value / 25) * 25 + 1.1::DOUBLE AS price")},
+{bars(MINUTE)},
+n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY group_id) AS rn,
+             CAST(round(close_price * 10) AS HUGEINT) * ({_UNIT} // 10) AS x FROM b),
+e AS (SELECT symbol, group_id, rn, close_price, x AS v7, x AS v20 FROM n WHERE rn = 1
+  UNION ALL
+  SELECT n.symbol, n.group_id, n.rn, n.close_price, {_whole(7, "v7")}, {_whole(20, "v20")}
+  FROM e JOIN n ON n.symbol = e.symbol AND n.rn = e.rn + 1),
+f AS (SELECT symbol, group_id, close_price,
+             CASE WHEN rn >= 7 THEN CAST(v7 AS DOUBLE) / 1e20 END AS a, CASE WHEN rn >= 20 THEN CAST(v20 AS DOUBLE) / 1e20 END AS b
+      FROM e)
+SELECT symbol, group_id, close_price, {half_up("a", 4)} AS ema7, {half_up("b", 4)} AS ema20,
+       CASE WHEN a > b THEN 'uptrend' WHEN a < b THEN 'downtrend' END AS trend
+FROM f"""
+
+ORACLES["stream_slow_symbol"] = f"""{STREAM_X}
+SELECT window_start, window_end, symbol, landing_date, open_price, high_price, low_price, close_price, volume
+FROM z WHERE window_end <= (
+  SELECT make_timestamp(min(m)) FROM (
+    SELECT (max("timestamp") // 1000) * 1000 - 5000000 AS m FROM t GROUP BY symbol))"""

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from candlemill.functions.columns import half_up as half_up_column
 from candlemill.operators import ema, ema_chunked, macd, rsi, sma, trend, with_trend
-from candlemill.operators.chunks import with_previous
 from helpers import (
     bar, bars, by_bar, closes, half_up, in_order, slow_day_ema, slow_ema, slow_macd, slow_rsi, wave,
 )
@@ -26,12 +25,6 @@ def test_windows_do_not_depend_on_the_chunks(spark):
     want = by_bar(sma(df, digits=None), "sma7")
     for span in (1, 3, 50):
         assert by_bar(sma(df, digits=None, span=span), "sma7") == pytest.approx(want)
-    lags = {"p1": ("close_price", 1), "p2": ("close_price", 2)}
-    led = by_bar(with_previous(df, lags, span=4), "p1", "p2")
-    for i in range(60):
-        assert led[("A", i * i)] == (
-            values[i - 1] if i > 0 else None, values[i - 2] if i > 1 else None
-        )
 
 
 def test_averages_per_symbol_in_any_input_order(spark):

@@ -9,7 +9,7 @@ from candlemill.schemas import STREAM_BAR, STREAM_PATTERN
 from candlemill.sinks import write_bars_sink, write_stream_files
 from candlemill.sources import read_bars_stream, read_patterns_stream, read_trades_stream
 from candlemill.streaming import (
-    bounded_pattern_job, bounded_patterns, start_pattern_job, stream_klines, stream_metrics,
+    bounded_pattern_job, bounded_patterns, start_pattern_job, stream_klines, stream_metrics, watch_progress,
     stream_patterns, union_by_symbol,
 )
 from helpers import half_up, slow_ema, wave
@@ -48,6 +48,7 @@ def source(spark, folder):
 
 
 def run_bars(spark, stream, out):
+    watch_progress(spark)
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows")
         .option("checkpointLocation", f"{out}/ck").trigger(availableNow=True).start()
