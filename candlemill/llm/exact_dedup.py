@@ -25,7 +25,8 @@ def _groups(docs: DataFrame, hash_of) -> tuple[DataFrame, DataFrame, DataFrame |
     Rows are grouped by hash *and* bytes, so equal hashes are never taken for equal texts. Copies within a task
     are merged before the shuffle, which takes each distinct text there once, however many copies it has.
     """
-    keyed = docs.withColumn("_text", normalised(F.col("text"))).withColumn("_hash", hash_of(F.col("_text")))
+    texts = docs.withColumn("_text", normalised(F.col("text")))
+    keyed = texts.withColumn("_hash", hash_of(F.col("_text"))).withColumn("_sha", F.sha2("_text", 256))
     # a null id counts as the largest
     equal = keyed.groupBy("_hash", "_text").agg(F.min("doc_id").alias("_keep"), F.count("*").alias("_size"))
     merged = equal.groupBy("_hash").agg(
@@ -49,12 +50,13 @@ def exact_dedup(docs: DataFrame, hash_of=content_hash) -> DataFrame:
     Spark when the documents meet the groups.
     """
     keyed, by_hash, by_text = _groups(docs.select("doc_id", "text"), hash_of)
-    found = keyed.join(by_hash, "_hash")
+    # the bytes have been compared: from here on a hash stands for its text, unless another text shares it
+    found = keyed.select("doc_id", "_sha", "_hash").join(by_hash, "_hash")
     if by_text is not None:
         found = found.unionByName(keyed.join(by_text, ["_hash", "_text"]).select(found.columns))
     return found.select(
         "doc_id", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("_keep")).alias("kept"), F.sha2("_text", 256).alias("text_sha256"))
+        F.col("doc_id").eqNullSafe(F.col("_keep")).alias("kept"), F.col("_sha").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, hash_of=content_hash) -> DataFrame:
