@@ -257,7 +257,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, block: int = BLOCK) -
     members = linked.join(distinct, linked.node == distinct.fp).select("root", "fp", "first_id")
     named = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = members.join(named, "root").select("fp", "component_id")
-    by_fp = distinct.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    # written, so that the join below deals out both sides itself and Spark can split a fingerprint of very many copies
+    by_fp = stage(distinct.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "fingerprint-classes")
     return found.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
