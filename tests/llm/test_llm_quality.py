@@ -25,8 +25,8 @@ def slow_counts(text):
 
 
 def labelled(spark, n=400):
-    """Good prose, of which each has one word more, and junk made of marks; every fourth document has no label."""
-    rows = [(i, prose(60 + i % 90, i) + " Fine." if i % 3 else " ".join(f"{w}###" for w in prose(60 + i % 90, i).split())) for i in range(n)]
+    """Good prose and junk made of marks, each kind with a word of its own; every fourth document has no label."""
+    rows = [(i, prose(60 + i % 90, i, 20_000) + " Fine." if i % 3 else " ".join(f"{w}###" for w in prose(60 + i % 90, i, 20_000).split()) + " Vile###") for i in range(n)]
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(n) if i % 4] + [(None, 1, 1), (3, None, None)], LABELS)
     return rows, labels
 
@@ -78,14 +78,15 @@ def test_trees_keep_the_directions():
 def test_scores_of_odd_rows(spark, module, report):
     some, labels = labelled(spark)
     rows = docs(spark, odd_rows()).unionByName(docs(spark, [(1000 + i, t) for i, t in some]))
-    ids = spark.createDataFrame([(1000 + i, q, q) for i, q, _ in labels.dropna().collect()], LABELS)
+    ids = spark.createDataFrame([(1000 + i, q, 1 - q) for i, q, _ in labels.dropna().collect()], LABELS)
     out = report(clash(rows, "held_out", "score", "predicted"), ids).collect()
     assert len(out) == len(odd_rows()) + len(some)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= module.THRESHOLD) for r in out)
     import zlib
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
     held = [r for r in out if r.doc_id is not None and r.doc_id >= 1000 and r.held_out]
-    assert held and all((r.predicted == 1) == ((r.doc_id - 1000) % 3 > 0) for r in held)
+    good = module is quality_classifier  # the other one looks for the junk
+    assert held and sum((r.predicted == 1) == (((r.doc_id - 1000) % 3 > 0) == good) for r in held) >= 0.95 * len(held)
     for none in (ids.limit(0), ids.where("quality = 1")):
         assert len({r.score for r in report(rows, none).collect()}) == 1
     assert report(docs(spark, []), ids).count() == 0
