@@ -13,10 +13,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from candlemill.llm.quality_classifier import score_documents
+from candlemill.llm.quality_classifier import logistic_curve, score_documents
 from candlemill.llm.terms import BUCKETS, Known, bucket, compact, frequent, sample_rows
 
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 16_000
+CALIBRATING = 4  # each so many-th row of the sample is left for the logistic curve
 LEAST_SHARE = 1 / 800  # of the sample's rows that have a term, for it to be learned
 FACTORS = 4
 THRESHOLD = 0.3
@@ -37,18 +38,23 @@ class Machine:
     place: np.ndarray  # by bucket: the term's place in weights and factors, or the last, which has zeros
     weights: np.ndarray
     factors: np.ndarray
+    slope: float = 1.0
+    offset: float = 0.0
 
-    def score(self, text: bytes) -> float:
-        at = self.place[terms(text)]
+    def margin(self, found: np.ndarray) -> float:
+        at = self.place[found]
         v = self.factors[at]
-        pairs = (v.sum(axis=0) ** 2 - (v * v).sum(axis=0)).sum() / 2
-        return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[at].sum() + pairs, -50, 50))))
+        return self.bias + float(self.weights[at].sum() + (v.sum(axis=0) ** 2 - (v * v).sum(axis=0)).sum() / 2)
+
+    def score(self, text: bytes) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(terms(text)) + self.offset, -50, 50))))
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, n: int, factors: int = FACTORS, rounds: int = 80, rate: float = 0.05,
+def descend(rows: list[np.ndarray], y: np.ndarray, n: int, factors: int = FACTORS, rounds: int = 100, alone: int = 40, rate: float = 0.05,
             weight_cut: float = 3e-4, vector_cut: float = 7.5e-4) -> tuple[float, np.ndarray, np.ndarray]:
     """Logistic loss over all rows, proximal Adam steps. The two cuts are penalties on the size of each weight and
-    each vector, which leave exact zeros for terms that say nothing: long texts have thousands of those."""
+    each vector, which leave exact zeros for terms that say nothing: long texts have thousands of those. The weights
+    are fitted ``alone`` for the first rounds, so that pairs only learn what terms by themselves do not explain."""
     draw = np.random.default_rng(11)
     w, v = np.zeros(n), draw.normal(0, 0.01, (n, factors))
     p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
@@ -64,22 +70,35 @@ def descend(rows: list[np.ndarray], y: np.ndarray, n: int, factors: int = FACTOR
         return x - size * s[0] / (1 - 0.9**k), size
 
     for k in range(1, rounds + 1):
-        sums = np.stack([np.bincount(row, v[at, f], minlength=len(rows)) for f in range(factors)], 1)
-        squares = np.bincount(row, (v * v).sum(axis=1)[at], minlength=len(rows))
-        margin = bias + np.bincount(row, w[at], minlength=len(rows)) + ((sums**2).sum(axis=1) - squares) / 2
+        paired = k > alone
+        pairs = 0.0
+        if paired:
+            sums = np.stack([np.bincount(row, v[at, f], minlength=len(rows)) for f in range(factors)], 1)
+            squares = np.bincount(row, (v * v).sum(axis=1)[at], minlength=len(rows))
+            pairs = ((sums**2).sum(axis=1) - squares) / 2
+        margin = bias + np.bincount(row, w[at], minlength=len(rows)) + pairs
         g = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y) / len(y)
         gw = np.bincount(at, g[row], minlength=n)
+        if not paired:
+            w, size = step(w, gw, state[1], k)
+            w = np.sign(w) * np.maximum(np.abs(w) - size * weight_cut, 0)
+            bias = float(step(np.array([bias]), np.array([g.sum()]), state[0], k)[0][0])
+            continue
         gv = np.stack([np.bincount(at, (g[:, None] * sums)[row, f], minlength=n) for f in range(factors)], 1) - gw[:, None] * v
         bias = float(step(np.array([bias]), np.array([g.sum()]), state[0], k)[0][0])
         w, size = step(w, gw, state[1], k)
         w = np.sign(w) * np.maximum(np.abs(w) - size * weight_cut, 0)
-        v, size = step(v, gv, state[2], k)
+        v, size = step(v, gv, state[2], k - alone)
         length = np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         v = v * np.maximum(1 - size.mean(axis=1, keepdims=True) * vector_cut / length, 0)
     return bias, w, v
 
 
-def fit_rows(all_rows: list[np.ndarray], y: np.ndarray) -> Machine:
+def fit_rows(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
+    """Penalties draw margins towards zero; a logistic curve over margins of rows that the machine has not seen puts
+    the scores right."""
+    aside = np.arange(len(labels)) % CALIBRATING == CALIBRATING - 1
+    all_rows, y = [r for r, a in zip(rows, aside) if not a], labels[~aside]
     vocabulary = frequent(all_rows, max(3, round(len(y) * LEAST_SHARE)))
     n = len(vocabulary)
     place = np.full(BUCKETS, n, np.int32)
@@ -91,7 +110,12 @@ def fit_rows(all_rows: list[np.ndarray], y: np.ndarray) -> Machine:
     telling = (w != 0) | v.any(axis=1)
     place[:] = telling.sum()
     place[vocabulary[telling]] = np.arange(telling.sum())
-    return Machine(bias, place, np.append(w[telling], 0.0), np.vstack([v[telling], np.zeros((1, FACTORS))]))
+    found = Machine(bias, place, np.append(w[telling], 0.0), np.vstack([v[telling], np.zeros((1, FACTORS))]))
+    t = labels[aside]
+    if 0 < t.sum() < len(t):
+        margins = np.array([found.margin(r) for r, a in zip(rows, aside) if a])
+        found.slope, found.offset = logistic_curve(margins, t)
+    return found
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE_ROWS) -> Machine:
