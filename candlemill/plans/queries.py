@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from candlemill import operators as op
 from candlemill.plans.jobs import PATTERNS, find_patterns, transform
-from candlemill.schemas import STREAM_PATTERN, TRADE, TRADE_MESSAGE
+from candlemill.schemas import STREAM_BAR, STREAM_PATTERN, TRADE, TRADE_MESSAGE
 from candlemill.session import fresh_path, prepare, stage
 from candlemill.sinks import (
     encode_alerts,
@@ -25,13 +25,14 @@ from candlemill.sinks import (
 )
 from candlemill.sources import read_landing, read_trades_csv, read_trades_stream
 from candlemill.sources.files import trades_in_archives
-from candlemill.sources.streams import parse_messages
+from candlemill.sources.streams import parse_messages, read_bars_stream, read_patterns_stream
 from candlemill.sources.testdata import trades_from_events, trades_from_orders
 from candlemill.streaming import (
     bounded_pattern_job,
     start_pattern_job,
     state_partitions,
     stream_klines,
+    stream_patterns,
     union_by_symbol,
 )
 
@@ -509,6 +510,40 @@ def stream_copy(spark, folder):
     return spark.read.schema(schema).csv(f"{out}/rows")
 
 
+def _drained(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
+    """What a stream gives for the input there is."""
+    out = fresh_path(spark, label)
+    writer = stream.writeStream.outputMode("append").format("parquet").trigger(availableNow=True)
+    with state_partitions(spark, _slots(spark)):
+        query = writer.option("path", f"{out}/rows").option("checkpointLocation", f"{out}/ck").start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def stream_trade_files(spark, folder):
+    """Trade files as a stream."""
+    path = fresh_path(prepare(spark), "csv")
+    _trade_file_columns(events(spark, folder)).write.csv(path, header=False)
+    trades = read_trades_stream(spark, path, "csv", symbol="BTCUSDT")
+    return _drained(spark, trades.select("agg_trade_id", "price", "ts_int", "ts", "symbol"), "trades")
+
+
+def stream_stored_bars(spark, folder):
+    """Patterns on a stream of stored bars."""
+    path = fresh_path(prepare(spark), "bars")
+    bars = stream_klines(event_stream_rows(spark, folder), "1 hour", delay=None)
+    bars.select(*STREAM_BAR.names).write.csv(path)
+    return _drained(spark, stream_patterns(read_bars_stream(spark, path)), "patterns")
+
+
+def stream_read_alerts(spark, folder):
+    """Published alerts, read back as a stream."""
+    path = fresh_path(prepare(spark), "alerts")
+    rows = bounded_pattern_job(event_stream_rows(spark, folder), HOUR)
+    encode_alerts(op.only_patterns(rows, "engulfing_pattern")).select("value").write.text(path)
+    return _drained(spark, read_patterns_stream(spark, path, "json"), "alerts")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -521,6 +556,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pattern_engulfing_raw, pattern_engulfing_day, pattern_stars, only_patterns, plot_bars,
         plot_sma, chart_series, csv_ingest, zip_ingest, landing_read, upsert_rows, day_jobs,
         stream_slow_symbol, encode_trade_messages, rejected_trade_counts, encode_alert_messages, bounded_engulfing, stream_bars,
-        stream_engulfing, stream_alerts, stream_copy,
+        stream_engulfing, stream_alerts, stream_copy, stream_trade_files, stream_stored_bars,
+        stream_read_alerts,
     )
 }

@@ -396,3 +396,8 @@ SELECT window_start, window_end, symbol, landing_date, open_price, high_price, l
 FROM z WHERE window_end <= (
   SELECT make_timestamp(min(m)) FROM (
     SELECT (max("timestamp") // 1000) * 1000 - 5000000 AS m FROM t GROUP BY symbol))"""
+
+ORACLES["stream_trade_files"] = f"""WITH {TRADES}
+SELECT agg_trade_id, price, "timestamp" AS ts_int, make_timestamp("timestamp" // 1000 * 1000) AS ts, 'BTCUSDT' AS symbol FROM t"""
+ORACLES["stream_stored_bars"] = f"{STREAM_X} SELECT * FROM z"
+ORACLES["stream_read_alerts"] = f"{STREAM_X} SELECT * FROM z WHERE engulfing_pattern IS NOT NULL"

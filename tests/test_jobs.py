@@ -109,3 +109,33 @@ def test_staged_tables_can_be_dropped(spark):
     path = stage(spark.range(3)).inputFiles()[0].removeprefix("file://").removeprefix("file:")
     assert os.path.exists(path)
     assert drop_staged(spark) == 1 and not os.path.exists(path)
+
+
+def test_staging_never_goes_to_one_machines_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+    from candlemill.session import shared_dir
+
+    def on(master, conf=None, directory=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: directory, applicationId=f"app {master}")
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: conf))
+
+    for master in ("spark://h:7077", "yarn", "k8s://h", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(on(master))
+        assert shared_dir(on(master, "s3a://lake/shared/")) == "s3a://lake/shared"
+        assert shared_dir(on(master, directory="hdfs:/shared/1")) == "hdfs:/shared/1"
+    assert os.path.isdir(shared_dir(on("local[2]")))
+
+
+def test_the_format_of_files_is_stated(spark, tmp_path):
+    import pytest
+    from candlemill.plans.jobs import land
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "BTCUSDT-aggTrades-2025-10-01.csv").write_text("no,trade,at,all\n")
+    with pytest.raises(ValueError, match="format"):
+        land(spark, f"{tmp_path}/in", f"{tmp_path}/root")
+    with pytest.raises(Exception, match="no field of a row"):
+        land(spark, f"{tmp_path}/in", f"{tmp_path}/root", format="csv")

@@ -56,3 +56,19 @@ def test_pattern_shuffles(spark):
     """Values by chunk, summaries by key, rows with their starting states by chunk; lags move nothing."""
     bars = q.hourly(spark, FOLDER)
     assert plan(op.pattern_three(bars)).count("Exchange hashpartitioning") == 3
+
+
+def test_charts_open_only_their_days(spark, tmp_path):
+    from candlemill.operators import chart_series
+
+    rows = spark.sql(
+        "SELECT 'A' AS symbol, timestamp'2024-01-01' + make_interval(0, 0, 0, id) AS window_start, 1.0 AS open_price, "
+        "1.0 AS high_price, 1.0 AS low_price, 1.0 AS close_price, 1.0 AS volume, 1.0 AS ema7, 1.0 AS ema20, "
+        "CAST(NULL AS string) AS engulfing_pattern, date_add(date'2024-01-01', CAST(id AS int)) AS landing_date FROM range(30)"
+    )
+    rows.write.partitionBy("landing_date").parquet(f"{tmp_path}/patterns")
+    found = chart_series(spark.read.parquet(f"{tmp_path}/patterns"), "A", "2024-01-05", "2024-01-07 12:00:00")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "landing_date" in filters and ">=" in filters and "<=" in filters
+    assert found.count() == 3
