@@ -29,7 +29,7 @@ from sys import maxsize
 HEAD = 64
 SHIFT = 200
 SHOWN = 160
-ONE = 1 << SHIFT
+ONE, SCALE = 1 << SHIFT, 2.0**SHIFT
 
 
 def missing(x) -> bool:
@@ -42,9 +42,8 @@ def trunc_half_up(x: float, digits: int) -> float:
 
 
 def fixed(x: float) -> int:
-    """A double with ``SHIFT`` binary places; exact unless it is below 2^-147 or so."""
-    above, below = float(x).as_integer_ratio()
-    return (above << SHIFT) // below
+    """A double with ``SHIFT`` binary places; exact unless it is below 2^-147 or so. (Scaling by a power of two is.)"""
+    return int(x * SCALE)
 
 
 def level_of(text: str) -> int:
@@ -109,13 +108,13 @@ class FirstValueAverage(Average):
 
 
 def fixed_values(values) -> list[int | None]:
-    return [None if x is None or x != x else fixed(x) for x in values]
+    return [None if x is None or x != x else int(x * SCALE) for x in values]
 
 
 def doubles(levels) -> list[float | None]:
     """Levels with ``SHOWN`` binary places, as the nearest doubles: what is below those places depends on the cut."""
-    half, drop, one = 1 << SHIFT - SHOWN - 1, SHIFT - SHOWN, 1 << SHOWN
-    return [None if x is None else (x + half >> drop) / one for x in levels]
+    half, drop, unit = 1 << SHIFT - SHOWN - 1, SHIFT - SHOWN, 2.0**-SHOWN
+    return [None if x is None else float(x + half >> drop) * unit for x in levels]
 
 
 class Averages:
