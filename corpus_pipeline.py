@@ -29,10 +29,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_copies(docs)
 
 
+# Of their runs of five words, what near copies have in common at least.
+NEAR_COPY = 0.8
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     prepare(spark)
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, similarity=NEAR_COPY)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,5 +111,34 @@ def test_near_duplicates(spark):
     assert sorted((r.doc_id for r in out.collect()), key=str) == sorted([*{b for b in best.values()}, None], key=str)
 
 
+def edited(text, n, seed):
+    words, draw = text.split(" "), random.Random(seed)
+    for i in draw.sample(range(len(words)), n):
+        words[i] = f"new{draw.randrange(9999)}"
+    return " ".join(words)
+
+
+def five_word_similarity(a, b):
+    a, b = ({tuple(x[i:i + 5]) for i in range(len(x) - 4)} for x in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_similar_texts_are_linked_whatever_their_distance(spark, block):
+    base = [prose(210, 80 + k, 9000) for k in range(12)]
+    rows = [(10 * k + j, edited(t, [0, 2, 4, 9, 30][j], j)) for k, t in enumerate(base) for j in range(5)]
+    fps = {i: slow_fingerprint(t) for i, t in rows}
+    pairs = [(a, b) for i, (a, x) in enumerate(rows) for b, y in rows[:i]
+             if (fps[a] ^ fps[b]).bit_count() <= 3 or five_word_similarity(x, y) >= 0.8]
+    far = [(fps[a] ^ fps[b]).bit_count() > 3 for a, b in pairs]
+    assert sum(far) > 10
+    expected = roots([i for i, _ in rows], pairs)
+    found = {r.doc_id: r.component_id for r in S.near_duplicates(docs(spark, rows), block=block, similarity=0.8).collect()}
+    assert found == expected
+    kept = {r.doc_id for r in S.drop_near_duplicates(docs(spark, rows), similarity=0.8).collect()}
+    assert kept == set(expected.values())
+
+
 def test_empty(spark):
+    assert S.near_duplicates(docs(spark, []), similarity=0.8).count() == 0
     assert S.near_duplicates(docs(spark, [])).count() == 0 and S.drop_near_duplicates(docs(spark, [])).count() == 0
