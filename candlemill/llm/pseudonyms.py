@@ -16,6 +16,17 @@ ROUNDS = 8
 # Days since 1900-01-01 that dates are permuted among: to 2100-02-19. The halves of the network need a product.
 DAY_HALVES = (340, 215)
 
+
+
+def _fours(sep: str) -> str:
+    """Four or more groups of four digits, and a last one of three, short of a year-first date or a number that goes on."""
+    four, date = "[0-9]{4}(?![0-9])", r"[0-9]{4}[/\-][0-9]{2}[/\-][0-9]{2}(?![0-9])"
+    return rf"[0-9]{{4}}(?:{sep}{four}){{3}}(?:{sep}(?!{date}){four})*+(?:{sep}[0-9]{{3}}(?![0-9]|[./\-][0-9]))?"
+
+
+# How cards are written. Other groupings are taken too, but never into a card in one of these forms, a date or an address.
+_CARD = "|".join(["[0-9]{13,19}(?![0-9])", *(x for sep in (" ", r"\-") for x in (
+    _fours(sep), rf"[0-9]{{4}}{sep}[0-9]{{6}}{sep}[0-9]{{4,5}}(?![0-9])"))])
 _LOCAL = r"[\p{L}0-9._%+\-]"
 KINDS = {  # in this order, where two could match
     "email": rf"(?<!{_LOCAL}){_LOCAL}++@[A-Za-z0-9](?:[A-Za-z0-9\-]*+\.)++[A-Za-z]{{2,}}",
@@ -24,7 +35,7 @@ KINDS = {  # in this order, where two could match
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[.\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
+    "card": rf"(?<![0-9])(?:{_CARD}|[0-9](?:(?![ \-](?:{_CARD}|[0-9]{{1,4}}[./][0-9]))[ \-]?[0-9]){{12,18}}(?![0-9]))",
 }
 DATE_FORMS = {r"^[0-9]{4}-": ("yyyy-MM-dd",), r"^[0-9]{4}/": ("yyyy/MM/dd",), r"^[0-9]{2}\.": ("dd.MM.yyyy",), r"^[0-9]{2}/": ("dd/MM/yyyy", "MM/dd/yyyy")}
 LETTERS = [(48, 57), (97, 122), (65, 90), (0xE0, 0xF6), (0xF8, 0xFF), (0xC0, 0xD6), (0xD8, 0xDE)]
@@ -131,12 +142,33 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    def checked(digits: Column) -> Column:
+    def permuted(digits: Column, written: Column) -> Column:
         body = permute_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
         whole = let(body, lambda b: F.concat(b, F.pmod(F.lit(10) - luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
-        return F.when(luhn_sum(digits) == 0, let(whole, lambda w: _refill(m, w))).otherwise(m)
+        return let(whole, lambda w: _refill(written, w))
+
+    def parts(groups: Column) -> Column:
+        """Each four groups that are a card, from the left; groups beside them stay."""
+        sep = F.substring(m, 5, 1)
+
+        def step(state, i):
+            four = F.slice(groups, i + 1, F.lit(4))
+            joined = F.array_join(four, "")
+            card = (F.length(joined) == 16) & (luhn_sum(joined) == 0)
+            now = F.when(card, permuted(joined, F.concat(*(x for k in range(4) for x in ((sep,) if k else ()) + (F.get(four, F.lit(k)),))))).otherwise(F.get(groups, i))
+            return F.when(state["wait"] > 0, F.struct(state["out"].alias("out"), (state["wait"] - 1).alias("wait"))).otherwise(
+                F.struct(F.concat(state["out"], sep, now).alias("out"), F.when(card, 3).otherwise(0).alias("wait")))
+
+        begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("wait"))
+        return F.substring(F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), begin, step, lambda x: x["out"]), F.lit(2), F.length(m))
+
+    def checked(digits: Column) -> Column:
+        valid = F.length(digits).between(13, 19) & (luhn_sum(digits) == 0)
+        return F.when(valid, permuted(digits, m)).otherwise(m)
 
-    return let(_digits(m), checked)
+    fours = m.rlike("^[0-9]{4}(?:[ -][0-9]{4}){3,}(?:[ -][0-9]{3})?$")
+    found = F.when(fours, let(F.split(m, "[ -]"), parts)).otherwise(m)
+    return let(found, lambda x: F.when(x != m, x).otherwise(let(_digits(m), checked)))
 
 
 def _phone(m: Column, key: str) -> Column:

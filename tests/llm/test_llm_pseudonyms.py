@@ -79,6 +79,23 @@ def test_what_fails_validation_stays(spark, text):
     assert (found.text, found.n_pseudonyms) == (text, 0)
 
 
+def test_a_card_beside_other_numbers(spark):
+    c = card(5)
+    spaced, dashed = (sep.join(c[i:i + 4] for i in range(0, 16, 4)) for sep in " -")
+    new = run(spark, c)[0]
+    new_spaced, new_dashed = (sep.join(new[i:i + 4] for i in range(0, 16, 4)) for sep in " -")
+    ip, date = run(spark, "10.20.30.40", "12/25/2020")
+    cases = {}
+    for old, out in ((c, new), (spaced, new_spaced), (dashed, new_dashed)):
+        cases |= {f"{old} {x}": f"{out} {x}" for x in ("12/26", "123", "1", "7 8")}
+        cases |= {f"{x} {old}": f"{x} {out}" for x in ("2", "12", "123", "1234", "12/26", "7 8")}
+        cases |= {f"{old} 10.20.30.40": f"{out} {ip}", f"10.20.30.40 {old}": f"{ip} {out}"}
+        cases |= {f"{old} 12/25/2020": f"{out} {date}", f"12/25/2020 {old}": f"{date} {out}"}
+    cases |= {f"{x} 10.20.30.40": f"{x} {ip}" for x in ("1234567890123456", "1234 5678 9012 3456")}
+    cases |= {f"{spaced} {spaced} 2024": f"{new_spaced} {new_spaced} 2024"}
+    assert dict(zip(cases, run(spark, *cases))) == cases
+
+
 def test_odd_rows(spark):
     table = clash(docs(spark, [*odd_rows(), (77, f"{card(1)} {card(2)}\n{card(1)}")]), "_old", "_new", "n_pseudonyms", "m")
     out = pseudonymise(table, KEY).collect()
