@@ -9,6 +9,8 @@ a reader would see comes out, navigation and footers included; which of it is wo
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -38,7 +40,7 @@ IMPLIED = {
 SCOPE = frozenset("table td th caption button html body".split())
 IN_HEAD = frozenset("meta link title style script base noscript template head html".split())
 
-DEEPEST = 120  # elements further inside become siblings; their text stays
+DEEPEST_INDENT = 120  # lists and quotations further inside are not indented more, as lines would grow with the depth
 WIDEST = 60  # a table column with a longer line is not padded to its length
 MOST_COLUMNS_SPANNED = 50
 SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -74,16 +76,23 @@ def shown(node: Node) -> bool:
 
 # ---- the tree -----------------------------------------------------------------------------------
 
-def build(html: str) -> Node:
-    """The tree of a page. Any input gives one; tags that make no sense where they are, are passed over."""
+def build(html: str) -> tuple[Node, int]:
+    """The tree of a page, and its depth. Any input gives one; tags that make no sense where they are, are passed over."""
     root = Node("html", {})
     open_: list[Node] = [root]
+    count, deepest = Counter(), 1  # open elements by tag, so that deep pages are searched only for what is there
+
+    def leave(i: int) -> None:
+        count.subtract(n.tag for n in open_[i:])
+        del open_[i:]
 
     def close_through(names: set[str] | frozenset[str], barriers) -> None:
         """End the innermost open element of these names, and all in it, unless a barrier is met first."""
+        if not any(count[n] for n in names):
+            return
         for i in range(len(open_) - 1, 0, -1):
             if open_[i].tag in names:
-                del open_[i:]
+                leave(i)
                 return
             if open_[i].tag in barriers:
                 return
@@ -91,7 +100,7 @@ def build(html: str) -> Node:
     def text(source: str, keep: bool = False) -> None:
         if source:
             if open_[-1].tag == "head" and not source.isspace():
-                open_.pop()  # text cannot be in a head
+                leave(len(open_) - 1)  # text cannot be in a head
             open_[-1].children.append(source if keep else unescape(source))
 
     at, size = 0, len(html)
@@ -109,7 +118,7 @@ def build(html: str) -> Node:
             continue
         tag = tag.lower()
         if found["end"] or found["end2"]:
-            if tag == "p" and not any(n.tag == "p" for n in open_):
+            if tag == "p" and not count["p"]:
                 open_[-1].children.append(Node("p", {}))
             elif tag == "br":
                 open_[-1].children.append(Node("br", {}))
@@ -120,11 +129,13 @@ def build(html: str) -> Node:
                 close_through({tag}, SCOPE - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else {"html", "body"} | ({"table"} - {tag}))
             continue
         attrs = _attributes(found["attrs"] or found["attrs2"] or "")
-        if tag == "html" or tag == "body" and any(n.tag == "body" for n in open_):
+        if tag == "html" or tag == "body" and count["body"]:
             open_[0].attrs.update({k: v for k, v in attrs.items() if k not in open_[0].attrs})
             continue
         if open_[-1].tag == "head" and tag not in IN_HEAD:
-            open_.pop()
+            leave(len(open_) - 1)
+        if tag == "a":
+            close_through({"a"}, SCOPE | BLOCK)
         if tag in CLOSES_P:
             close_through({"p"}, SCOPE)
         while tag in IMPLIED and open_[-1].tag != "html":
@@ -133,7 +144,7 @@ def build(html: str) -> Node:
             if len(open_) == before:
                 break
         if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", open_[-1].tag):
-            open_.pop()
+            leave(len(open_) - 1)
         node = Node(tag, attrs)
         open_[-1].children.append(node)
         if tag in RAW:
@@ -141,9 +152,11 @@ def build(html: str) -> Node:
             inside = html[at:end.start() if end else size]
             node.children.append(unescape(inside) if tag in ("textarea", "title") else inside)
             at = end.end() if end else size
-        elif tag not in VOID and len(open_) < DEEPEST:
+        elif tag not in VOID:
             open_.append(node)
-    return root
+            count[tag] += 1
+            deepest = max(deepest, len(open_))
+    return root, deepest
 
 
 # ---- the layout ---------------------------------------------------------------------------------
@@ -151,7 +164,8 @@ def build(html: str) -> Node:
 class Lines:
     """Lines of text, and the margin that has to come before the next one."""
 
-    def __init__(self):
+    def __init__(self, boxes: int = 0):
+        self.boxes = boxes  # how many lists and quotations this is in
         self.out: list[str] = []
         self.margin = 0
         self.line: list[str] = []
@@ -218,16 +232,16 @@ def _element(node: Node, lines: Lines, pre: bool) -> None:
     else:
         margin = 1 if tag in MARGIN else 0
         lines.end_line(margin)
-        if tag == "pre" or tag == "table" or tag in ("ul", "ol", "menu", "dir", "blockquote", "dd"):
-            lines.put(_box(node, pre))
+        if tag == "pre" or tag == "table" or tag in ("ul", "ol", "menu", "dir", "blockquote", "dd") and lines.boxes < DEEPEST_INDENT:
+            lines.put(_box(node, pre, lines.boxes + 1))
         else:
             _flow(node, lines, pre)
             lines.end_line()
         lines.margin = max(lines.margin, margin)
 
 
-def _inner(node: Node, pre: bool = False) -> list[str]:
-    lines = Lines()
+def _inner(node: Node, pre: bool = False, boxes: int = 0) -> list[str]:
+    lines = Lines(boxes)
     _flow(node, lines, pre)
     if pre and lines.line:
         lines.out.append("".join(lines.line).rstrip())
@@ -236,26 +250,26 @@ def _inner(node: Node, pre: bool = False) -> list[str]:
     return lines.out
 
 
-def _box(node: Node, pre: bool) -> list[str]:
+def _box(node: Node, pre: bool, boxes: int) -> list[str]:
     if node.tag == "pre":
-        found = _inner(node, True)
+        found = _inner(node, True, boxes)
         while found and not found[0].strip():
             found.pop(0)
         while found and not found[-1].strip():
             found.pop()
         return found
     if node.tag == "table":
-        return _table(node)
+        return _table(node, boxes)
     if node.tag in ("blockquote", "dd"):
-        return ["  " + x if x else "" for x in _inner(node, pre)]
-    return _list(node, pre)
+        return ["  " + x if x else "" for x in _inner(node, pre, boxes)]
+    return _list(node, pre, boxes)
 
 
 def _whole(text: str | None, otherwise: int) -> int:
     return int(text) if text and re.fullmatch(r"\s*-?\d{1,9}\s*", text) else otherwise
 
 
-def _list(node: Node, pre: bool) -> list[str]:
+def _list(node: Node, pre: bool, boxes: int) -> list[str]:
     """Items with a bullet or number, their further lines indented; what is in a list without an item as it is."""
     out: list[str] = []
     number = _whole(node.attrs.get("start"), 1)
@@ -263,7 +277,7 @@ def _list(node: Node, pre: bool) -> list[str]:
 
     def put_loose() -> None:
         if loose.children:
-            out.extend("  " + x if x else "" for x in _inner(loose, pre))
+            out.extend("  " + x if x else "" for x in _inner(loose, pre, boxes))
             loose.children = []
 
     for child in node.children:
@@ -276,7 +290,7 @@ def _list(node: Node, pre: bool) -> list[str]:
                 mark, number = f"{number}. ", number + 1
             else:
                 mark = "- "
-            found = _inner(child, pre)
+            found = _inner(child, pre, boxes)
             if found:
                 out.append(mark + found[0])
                 out.extend(" " * len(mark) + x if x else "" for x in found[1:])
@@ -286,7 +300,7 @@ def _list(node: Node, pre: bool) -> list[str]:
     return out
 
 
-def _table(node: Node) -> list[str]:
+def _table(node: Node, boxes: int) -> list[str]:
     """Rows of cells, each column as wide as its longest line up to WIDEST; captions and stray text come first."""
     before, rows = Node("div", {}), []
 
@@ -314,10 +328,10 @@ def _table(node: Node) -> list[str]:
         for child in row.children:
             if isinstance(child, Node) and child.tag in ("td", "th"):
                 if shown(child):
-                    cells.append((_inner(child), min(max(1, _whole(child.attrs.get("colspan"), 1)), MOST_COLUMNS_SPANNED)))
+                    cells.append((_inner(child, boxes=boxes), min(max(1, _whole(child.attrs.get("colspan"), 1)), MOST_COLUMNS_SPANNED)))
             else:
                 stray.children.append(child)
-        extra = _inner(stray)
+        extra = _inner(stray, boxes=boxes)
         grid.append(cells + ([(extra, 1)] if extra else []))
     widths: dict[int, int] = {}
     for cells in grid:
@@ -327,7 +341,7 @@ def _table(node: Node) -> list[str]:
             if span == 1 and width <= WIDEST:
                 widths[column] = max(widths.get(column, 0), width)
             column += span
-    out = _inner(before)
+    out = _inner(before, boxes=boxes)
     for cells in grid:
         for i in range(max((len(found) for found, _ in cells), default=0)):
             line, column = "", 0
@@ -341,11 +355,17 @@ def _table(node: Node) -> list[str]:
 
 def render(html: str) -> str:
     """The visible text of a page."""
-    root = build(html)
+    root, deepest = build(html)
     lines = Lines()
     if shown(root):
-        _flow(root, lines)
-        lines.end_line()
+        limit = sys.getrecursionlimit()
+        # calls from Python to Python need no C stack; an element takes four at most
+        sys.setrecursionlimit(limit + 5 * deepest)
+        try:
+            _flow(root, lines)
+            lines.end_line()
+        finally:
+            sys.setrecursionlimit(limit)
     return "\n".join(lines.out).replace("\xa0", " ").strip("\n")
 
 

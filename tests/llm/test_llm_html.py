@@ -39,6 +39,18 @@ def test_depth_and_length_lose_no_text():
     assert render("<table>" + "<tr><td>a<td>b" * 2000 + "</table>").count("\n") == 1999
 
 
+@pytest.mark.parametrize("outer", ["<div>", "<span>", "<a name=x>", "<font>"])
+@pytest.mark.parametrize("depth", [130, 20_000])
+def test_depth_keeps_visibility_and_layout(outer, depth):
+    deep = outer * depth
+    for inner in ("<div hidden>x<div>x</div>x</div>", "<p style='display:none'>x</p>", "<svg><text>x</text></svg>", "<template><b>x</b></template>"):
+        assert render(deep + inner + "y") == "y"
+    assert render("<div hidden>" + deep + "<div>x</div>x</div>z") == ("" if outer == "<div>" else "z")
+    assert render(deep + "<ul><li>a<li>b</ul>") == "- a\n- b"
+    assert render(deep + "<table><tr><td>a<td>bbbb<tr><td>cccc<td>d</table>") == "a     bbbb\ncccc  d"
+    assert render(deep + "<pre> a\n  b</pre>") == " a\n  b"
+
+
 def test_pages(spark):
     rows = [(1, "u", "<p>é"), (2, None, None), (None, "u", ""), (1, "u", "<p>é")]
     out = extract_text(spark.createDataFrame([(*r, "own") for r in rows], "page_id long, url string, html string, text string"))
