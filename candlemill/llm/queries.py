@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlemill.llm.centroids import cluster_report
+from candlemill.llm.collocations import collocations
 from candlemill.llm.common import read
 from candlemill.llm.exact_dedup import exact_dedup
 from candlemill.llm.html_text import extract_text
+from candlemill.llm.line_dedup import line_report
 from candlemill.llm.mixing import mix_report
 from candlemill.llm.packing import pack_documents
 from candlemill.llm.pseudonyms import pseudonymise
@@ -73,6 +76,18 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_report(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_report(read(spark, folder, "documents"))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(read(spark, folder, "documents"))
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster_report(spark, read(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -84,4 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_collocations": op12_collocations,
+    "op13_centroids": op13_centroids,
 }
