@@ -4,14 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candlemill.functions.columns import UNITS_PER_SECOND
 from candlemill.operators.projections import BAR_SECONDS, bucket_id, bucket_start
 
 BAR_VALUES = ["open_price", "high_price", "low_price", "close_price", "volume"]
 
 
+# Fewer bits than this are not worth trying.
+ID_BITS = 28
+
+
+def _id_bits(interval_s: int, unit: str) -> int:
+    """What the time within a bucket leaves of a positive long."""
+    return 63 - (interval_s * UNITS_PER_SECOND[unit] - 1).bit_length()
+
+
+def _ends(priced: Column, interval_s: int, unit: str, bits: int) -> list[Column]:
+    """Open and close by (time, id), for ids cut at multiples of half their range and again between those: ids
+    less than a quarter of it apart are in order under one of the two. One number is kept for ids that are null.
+    """
+    span = F.lit(interval_s * UNITS_PER_SECOND[unit])
+    inside = F.shiftleft(F.coalesce(F.pmod(F.col("timestamp"), span), F.lit(0)), bits)
+    id_, half, mask = F.col("agg_trade_id"), 1 << bits - 2, F.lit((1 << bits - 1) - 1)
+    low = id_.bitwiseAND(mask)
+    cuts = {"0": (low, F.shiftright(id_, bits - 1)),
+            "1": ((low + half).bitwiseAND(mask), F.shiftright(F.shiftright(id_, bits - 2) + 1, 1))}
+    found = []
+    for n, (low, part) in cuts.items():
+        key = F.when(priced, inside + F.coalesce(low + 1, F.lit(0)))
+        part = F.when(priced, part)
+        found += [F.min_by("price", key).alias(f"_open{n}"), F.max_by("price", key).alias(f"_close{n}"),
+                  F.min(part).alias(f"_first{n}"), F.max(part).alias(f"_last{n}")]
+    return found
+
+
+def _checked(name: str) -> Column:
+    side = name.removesuffix("_price")
+    whole = [F.col(f"_first{n}").eqNullSafe(F.col(f"_last{n}")) for n in "01"]
+    complaint = F.raise_error(F.lit("trade ids of one bucket lie too far apart: use wide_ids=True")).cast("double")
+    return F.when(whole[0], F.col(f"_{side}0")).when(whole[1], F.col(f"_{side}1")).otherwise(complaint)
+
+
 def klines(
     trades: DataFrame,
     interval_s: int = BAR_SECONDS,
@@ -20,6 +56,7 @@ def klines(
     volume_scale: int = 1,
     unit: str = "us",
     ids_follow_time: bool = False,
+    wide_ids: bool = False,
 ) -> DataFrame:
     """Open, high, low, close and volume per key and bucket.
 
@@ -27,10 +64,15 @@ def klines(
     those with a price, whatever order the rows arrive in. Every aggregate has a partial form, so one
     symbol with most of the trades is reduced to a row per bucket and task before the shuffle.
 
-    ``ids_follow_time=True`` is for feeds whose trade ids grow with time. Only plain numbers are then
-    kept per bucket, which stays a hash aggregation (the general form sorts each task's rows, over
-    twice the work). The claim is checked: a bucket whose smallest (largest) id is not at its earliest
-    (latest) time makes the job fail rather than give a wrong price.
+    Time and id are compared as one long: the time within the bucket, then the low bits of the id. That
+    stays a hash aggregation. The bits left for ids are 63 less those of the interval; ids of one bucket may lie a quarter
+    of their range apart (2^31 for 15 minutes in microseconds, 2^29 for an hour), wherever that lies. A bucket
+    whose ids are further apart makes the job fail rather than give a wrong price; ``wide_ids=True`` is for
+    feeds with such ids (hashes, say) and keeps both numbers in full, which Spark aggregates by sorting. Intervals that
+    leave ids fewer than ``ID_BITS`` bits (a day in microseconds) always do so.
+
+    ``ids_follow_time=True`` is for feeds whose trade ids grow with time, with any interval. The claim is checked: a bucket
+    whose smallest (largest) id is not at its earliest (latest) time makes the job fail too.
     """
     bucketed = trades.select(
         bucket_id("timestamp", interval_s, unit).alias("group_id"),
@@ -67,6 +109,9 @@ def klines(
             for n in ("open_price", "close_price")
         }
         bars = bars.withColumns(checked)
+    elif not wide_ids and (bits := _id_bits(interval_s, unit)) >= ID_BITS:
+        bars = grouped.agg(*[c.alias(n) for n, c in common.items()], *_ends(priced, interval_s, unit, bits))
+        bars = bars.withColumns({n: _checked(n) for n in ("open_price", "close_price")})
     else:
         tick = F.when(priced, F.struct("timestamp", "agg_trade_id", "price"))
         bars = grouped.agg(

@@ -14,8 +14,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlemill.functions.columns import floor_div
 from candlemill.session import stage
@@ -30,24 +33,73 @@ def bucket_chunk(order: str = "group_id", span: int = SPAN) -> Column:
     return floor_div(order, span)
 
 
-def range_chunks(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int = 2 * SPAN,
-    piece_rows: int = 1_000_000,
-) -> DataFrame:
-    """Cut rows of any density (ticks, say) into chunks of at most ``chunk_rows`` rows.
+ROWS = "_rows"
+BROADCAST_CHUNKS = 100_000
+
+
+def packed(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column) -> DataFrame:
+    """A stored table with one row per chunk: keys, ``CHUNK`` and ``ROWS``, an array of its rows in order.
 
-    A range partition over (keys, order) into pieces of about ``piece_rows`` rows splits a hot key;
-    within a sorted piece rows are counted off. The cut depends on a sample, so the result is written before it is used: every later pass, and
-    every retry, sees the same chunks.
+    This is the one time the rows move. What is read of it later are the columns needed, an array each.
     """
-    pieces = max(1, ceil(df.count() / piece_rows))
-    cut = df.repartitionByRange(pieces, *keys, *order).sortWithinPartitions(*keys, *order)
-    return stage(cut.withColumn(CHUNK, floor_div(F.monotonically_increasing_id(), chunk_rows)), "chunks")
+    cut = df.withColumn(CHUNK, chunk.cast("long"))
+    row = F.struct(*order, *[c for c in df.columns if c not in (*keys, *order)])
+    rows = cut.select(*keys, CHUNK, row.alias("_row")).groupBy(*keys, CHUNK)
+    return stage(rows.agg(F.sort_array(F.collect_list("_row")).alias(ROWS)), "chunks")
 
 
-def chunk_block() -> Column:
-    """Number of the block of ``BLOCK`` consecutive chunk numbers a chunk belongs to."""
-    return floor_div(CHUNK, BLOCK)
+def packed_by_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int = 2 * SPAN, piece_rows: int | None = None) -> DataFrame:
+    """The same for rows of any density (ticks, say), in chunks of at most ``chunk_rows`` rows.
+
+    A range partition over (keys, order) splits a hot key; within a sorted part rows are cut off as they come, so they
+    move this once. The cut depends on Spark's sample of the rows, but the result is written: every
+    later pass, and every retry, sees the same chunks. Chunks of a key are numbered in its order.
+    """
+    columns = [*order, *[c for c in df.columns if c not in (*keys, *order)]]
+    parts = [max(1, ceil(df.count() / piece_rows))] if piece_rows else []
+    rows = df.select(*keys, *columns).repartitionByRange(*parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    numbered = rows.select(F.monotonically_increasing_id().alias(CHUNK), *rows.columns)
+    names = list(keys)
+
+    def pack(batches):
+        """A key's rows lie side by side: cut where the key changes, and every ``chunk_rows`` rows."""
+        held, size = [], 0
+
+        def row(parts):
+            table = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            whole = pa.StructArray.from_arrays([table.column(c) for c in columns], fields=[table.schema.field(c) for c in columns])
+            found = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)
+            return pa.RecordBatch.from_arrays([*(table.column(k).slice(0, 1) for k in names), table.column(CHUNK).slice(0, 1), found], [*names, CHUNK, ROWS])
+
+        for batch in batches:
+            changed = np.zeros(batch.num_rows, bool)
+            for k in names:
+                codes = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                changed[1:] |= codes[1:] != codes[:-1]
+            if held and names and any(not held[-1].column(k)[-1].equals(batch.column(k)[0]) for k in names):
+                changed[:1] = True
+            for a, b in zip(starts := [0, *np.flatnonzero(changed[1:]) + 1], [*starts[1:], batch.num_rows]):
+                if changed[a] and held:
+                    yield row(held)
+                    held, size = [], 0
+                while a < b:
+                    n = min(b - a, chunk_rows - size)
+                    held.append(batch.slice(a, n))
+                    a, size = a + n, size + n
+                    if size == chunk_rows:
+                        yield row(held)
+                        held, size = [], 0
+        if held:
+            yield row(held)
+
+    kind = T.ArrayType(T.StructType([rows.schema[c] for c in columns]))
+    schema = T.StructType([*[rows.schema[k] for k in names], T.StructField(CHUNK, T.LongType()), T.StructField(ROWS, kind)])
+    return stage(numbered.mapInArrow(pack, schema), "chunks")
+
+
+def chunk_block(chunk_rows: int = 2 * SPAN) -> Column:
+    """Number of the block of rows, of about ``BLOCK`` chunks, that a chunk's first row belongs to."""
+    return floor_div(CHUNK, BLOCK * chunk_rows)
 
 
 def with_halo(

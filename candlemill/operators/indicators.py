@@ -23,7 +23,8 @@ from candlemill.operators.chunks import (
     bucket_chunk,
     chunk_block,
     chunk_window,
-    range_chunks,
+    packed,
+    packed_by_rows,
     with_halo,
     without_halo,
 )
@@ -92,14 +93,13 @@ def ema(
             raise ValueError("decimal averages take one period, a start column and no day scope")
         return scan(
             bars, DecimalAverage(periods[0]), [value, seed_column],
-            {names[0]: T.DoubleType()}, bucket_chunk(order, span), keys, [order],
+            {names[0]: T.DoubleType()}, packed(bars, keys, [order], bucket_chunk(order, span)), keys, [order],
         )
     outputs = {n: T.DoubleType() for n in names}
-    averages = DayAverages(periods) if scope == "day" else Averages(periods, seed)
+    averages = DayAverages(periods, digits) if scope == "day" else Averages(periods, seed)
     if scope == "continuous":
-        raw = scan(
-            bars, averages, [value], outputs, bucket_chunk(order, span), keys, [order], lags=lags
-        )
+        chunks = packed(bars, keys, [order], bucket_chunk(order, span))
+        raw = scan(bars, averages, [value], outputs, chunks, keys, [order], lags=lags)
         return _rounded(raw, names, digits)
     if scope != "day" or seed != "sma" or digits is None:
         raise ValueError("the day scope carries rounded, mean-started averages")
@@ -125,7 +125,7 @@ def ema(
             *keys, F.unix_date("landing_date").cast("long").alias(CHUNK), state.alias("_state")
         )
     raw = scan(
-        bars, averages, [value], outputs, F.unix_date("landing_date"), keys, [order],
+        bars, averages, [value], outputs, packed(bars, keys, [order], F.unix_date("landing_date")), keys, [order],
         between=overnight, given=given, lags=lags, lags_over_chunks=False,
     )
     return _rounded(raw, names, digits)
@@ -139,17 +139,17 @@ def ema_chunked(
     order: Sequence[str] = ("timestamp", "agg_trade_id"),
     seed: str = "first",
     chunk_rows: int = 2 * SPAN,
-    piece_rows: int = 1_000_000,
+    piece_rows: int | None = None,
 ) -> DataFrame:
     """Exponential average over rows of any density, such as every single trade.
 
     Chunks are cut by row count, so one key with most of the rows, or many rows at one instant, is
-    spread over the cluster all the same; and their summaries are gathered in two levels.
+    spread over the cluster all the same; and their summaries are gathered in two levels. The rows are sorted in as
+    many parts as a shuffle has, or in parts of about ``piece_rows``, which takes a count first.
     """
-    cut = range_chunks(rows, keys, order, chunk_rows, piece_rows)
     return scan(
-        cut, Averages([period], seed), [value], {f"ema{period}": T.DoubleType()},
-        F.col(CHUNK), keys, order, block=chunk_block(),
+        rows, Averages([period], seed), [value], {f"ema{period}": T.DoubleType()},
+        packed_by_rows(rows, keys, order, chunk_rows, piece_rows), keys, order, block=chunk_block(chunk_rows),
     )
 
 
@@ -163,7 +163,7 @@ def rsi(
 ) -> DataFrame:
     return scan(
         bars, Rsi(period), [value], {f"rsi{period}": T.DoubleType()},
-        bucket_chunk(order, span), keys, [order],
+        packed(bars, keys, [order], bucket_chunk(order, span)), keys, [order],
     )
 
 
@@ -182,7 +182,7 @@ def macd(
     names = [f"ema{fast}", f"ema{slow}", "macd", "signal", "histogram"]
     raw = scan(
         bars, Macd(fast, slow, signal), [value], {n: T.DoubleType() for n in names},
-        bucket_chunk(order, span), keys, [order],
+        packed(bars, keys, [order], bucket_chunk(order, span)), keys, [order],
     )
     return _rounded(raw, names, digits)
 

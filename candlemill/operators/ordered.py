@@ -8,15 +8,15 @@ Where a key may have millions of chunks, step 2 has two levels: blocks of chunks
 turn, and only the blocks of a key are applied one after the other.
 
 Steps 1 and 3 see one chunk at a time (bounded, see ``chunks``); step 2 sees summaries only. A chunk is
-one row holding an array of its bars, and only the arrays of the value itself visit Python: the other
+one row of a stored table holding an array of its bars: rows move once, when that is written, and steps 1 and 3 read it
+in place, step 1 the column of the values alone. Only the arrays of the value itself visit Python: the other
 columns stay in the JVM.
-
-The input is read twice, so callers hand in a stored or staged table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from candlemill.functions.recurrences import missing
-from candlemill.operators.chunks import CHUNK
+from candlemill.functions.recurrences import Laned, missing
+from candlemill.operators.chunks import BROADCAST_CHUNKS, CHUNK, ROWS
 
 BLOCK_NO = "_block"
 
@@ -44,6 +44,15 @@ def _series(*columns: pa.ListArray) -> tuple[list[list], np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])], offsets
 
 
+def _present(lists: pa.ListArray) -> tuple[np.ndarray, list[int], list[int], np.ndarray, np.ndarray]:
+    """The values that are not missing; where each chunk's begin and end; where chunks start among all; which are there."""
+    offsets = _offsets(lists)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    there = np.isfinite(flat)
+    before = np.concatenate([[0], np.cumsum(there)])
+    return flat[there], before[offsets[:-1]].tolist(), before[offsets[1:]].tolist(), offsets, there
+
+
 def _absent(value) -> bool:
     return missing(value[0] if isinstance(value, tuple) else value)
 
@@ -67,7 +76,7 @@ def scan(
     recurrence,
     values: Sequence[str],
     outputs: dict[str, T.DataType],
-    chunk: Column,
+    chunks: DataFrame,
     keys: Sequence[str] = ("symbol",),
     order: Sequence[str] = ("group_id",),
     between: Callable | None = None,
@@ -78,8 +87,7 @@ def scan(
 ) -> DataFrame:
     """``df`` with one column per output of ``recurrence``, run over ``values`` in ``order``.
 
-    ``chunk`` numbers the chunks of a key in its order (a ``CHUNK`` column already there goes before
-    it, and is dropped from the result). ``between(state, last_was_null, earlier, later)`` may change
+    ``chunks`` is ``df`` as ``packed`` or ``packed_by_rows`` store it; ``df`` itself gives the columns alone. ``between(state, last_was_null, earlier, later)`` may change
     the state from one chunk to the next. ``given`` holds end states known from before: keys, ``CHUNK``
     and ``_state``.
 
@@ -95,9 +103,7 @@ def scan(
     keys, order, several = list(keys), list(order), len(values) > 1
     cell = T.DoubleType() if recurrence.state_type == "double" else T.StringType()
     numbers = T.ArrayType(cell)
-    cut = df if CHUNK in df.columns else df.withColumn(CHUNK, chunk.cast("long"))
-    columns = [c for c in df.columns if c != CHUNK]
-    group = [*keys, CHUNK]
+    columns, group = df.columns, [*keys, CHUNK]
 
     # 1. one summary per chunk
     doubles = T.ArrayType(T.DoubleType())
@@ -106,11 +112,25 @@ def scan(
         .add("_last_null", T.BooleanType()).add("_state", numbers)
     )
     lagged = list(dict.fromkeys(c for c, _ in lags.values()))
-    tail_type = T.ArrayType(T.StructType([cut.schema[c] for c in lagged]))
+    tail_type = T.ArrayType(T.StructType([df.schema[c] for c in lagged]))
+
+    laned = isinstance(recurrence, Laned) and not several
 
     def summarise(*lists: pa.ListArray) -> pa.Array:
         found = []
+        if laned:
+            values_, begins, ends, offsets, there = _present(lists[0])
+            tails = [min(b + recurrence.head, e) for b, e in zip(begins, ends)]
+            for b, tail, rest, end in zip(begins, tails, recurrence.rest_all(values_, tails, ends), offsets[1:]):
+                found.append({"_head": values_[b:tail].tolist(), "_head_start": None, "_rest": rest,
+                              "_last_null": not there[end - 1], "_state": None})
+            return pa.array(found, type=to_arrow_type(summary_type))
+        guess = getattr(recurrence, "guess", None)
         for series in _series(*lists)[0]:
+            ends = guess(series) if guess else None
+            if ends is not None:
+                found.append({"_head": [], "_head_start": None, "_rest": ends, "_last_null": _absent(series[-1]), "_state": None})
+                continue
             present = [v for v in series if not _absent(v)]
             head, tail = present[: recurrence.head], present[recurrence.head :]
             found.append({
@@ -122,18 +142,13 @@ def scan(
             })
         return pa.array(found, type=to_arrow_type(summary_type))
 
-    packed_values = cut.groupBy(*group).agg(
-        F.sort_array(
-            F.collect_list(F.struct(*order, *dict.fromkeys([*values, *(lagged if depth else [])])))
-        ).alias("_values")
-    )
-    arrays = [F.col(f"_values.{v}") for v in values]
+    arrays = [F.col(f"{ROWS}.{v}") for v in values]
     summary = _over_arrays(summarise, len(values), summary_type)(*arrays).alias("_summary")
     tail = F.lit(None).cast(tail_type)
     if depth:
-        last = F.slice("_values", F.greatest(F.size("_values") - (depth - 1), F.lit(1)), F.lit(depth))
-        tail = F.transform(last, lambda row: F.struct(*[row[c].alias(c) for c in lagged]))
-    summaries = packed_values.select(*group, summary, tail.alias("_tail")).select(
+        ends_at = [F.slice(F.col(f"{ROWS}.{c}"), F.greatest(F.size(f"{ROWS}.{c}") - (depth - 1), F.lit(1)), F.lit(depth)).alias(c) for c in lagged]
+        tail = F.arrays_zip(*ends_at).cast(tail_type)
+    summaries = chunks.select(*group, summary, tail.alias("_tail")).select(
         *group, "_summary.*", "_tail"
     )
     if given is not None:
@@ -189,8 +204,8 @@ def scan(
                         names=[*keys, BLOCK_NO, *summary_type.names, "_tail"])
 
     ends = T.StructType().add("_start", numbers).add("_before", tail_type).fields
-    key_fields = [cut.schema[k] for k in keys]
-    starts_type = T.StructType([*key_fields, cut.schema[CHUNK], *ends])
+    key_fields = [df.schema[k] for k in keys]
+    starts_type = T.StructType([*key_fields, chunks.schema[CHUNK], *ends])
     if block is None:
         starts = summaries.groupBy(*keys).applyInArrow(start_states, starts_type)
     else:
@@ -208,42 +223,45 @@ def scan(
             .applyInArrow(start_states_in_block, starts_type)
         )
 
-    # 3. each chunk from its state; the state joins its chunk's rows as one more row of the group
+    # 3. each chunk from its state
     replay_type = T.StructType(
         [T.StructField(n, T.ArrayType(t)) for n, t in outputs.items()]
     )
 
     def replay(*lists: pa.Array) -> pa.Array:
         *lists, start = lists
-        series, offsets = _series(*lists)
-        flat = [[] for _ in outputs]
-        for one, state in zip(series, start.to_pylist()):
-            results, _ = recurrence.run(one, state)
-            for column, result in zip(flat, results):
-                column.extend(result)
+        if laned:
+            values_, begins, ends, offsets, there = _present(lists[0])
+            flat = []
+            for results in recurrence.run_all(values_, begins, ends, start.to_pylist()):
+                column = np.full(len(there), np.nan)
+                column[there] = results
+                flat.append(pa.array(column, mask=np.isnan(column)))
+        else:
+            series, offsets = _series(*lists)
+            flat = [[] for _ in outputs]
+            for one, state in zip(series, start.to_pylist()):
+                results = recurrence.outputs(one, state) if hasattr(recurrence, "outputs") else recurrence.run(one, state)[0]
+                for column, result in zip(flat, results):
+                    column.extend(result)
+            flat = [pa.array(column, type=to_arrow_type(kind)) for column, kind in zip(flat, outputs.values())]
         where = pa.array(offsets, type=pa.int32())
-        found = [
-            pa.ListArray.from_arrays(where, pa.array(column, type=to_arrow_type(kind)))
-            for column, kind in zip(flat, outputs.values())
-        ]
+        found = [pa.ListArray.from_arrays(where, column) for column in flat]
         return pa.StructArray.from_arrays(found, names=list(outputs))
 
-    row = F.struct(*order, *[c for c in columns if c not in (*keys, *order)])
-    rows = cut.select(*group, row.alias("_row"))
-    chunks = rows.unionByName(starts, allowMissingColumns=True).groupBy(*group).agg(
-        F.sort_array(F.collect_list("_row")).alias("_rows"),
-        F.first("_start", ignorenulls=True).alias("_start"),
-        F.first("_before", ignorenulls=True).alias("_before"),
-    ).where(F.size("_rows") > 0)
-    arrays = [F.col(f"_rows.{v}") for v in values]
+    few = chunks.count() <= BROADCAST_CHUNKS  # in the files' footers; a start is less than a kilobyte
+    known = starts.select(*[F.col(c).alias(f"_of_{c}") for c in group], "_start", "_before")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group])
+    opened = chunks.join(F.broadcast(known) if few else known, same)
+    arrays = [F.col(f"{ROWS}.{v}") for v in values]
     found = _over_arrays(replay, len(values) + 1, replay_type)(*arrays, F.col("_start"))
-    spread = chunks.withColumn("_found", found).select(
-        *keys, "_found", "_rows", "_before", F.posexplode("_rows").alias("_at", "_row")
+    spread = opened.withColumn("_found", found).select(
+        *keys, "_found", ROWS, "_before", F.posexplode(ROWS).alias("_at", "_row")
     )
     at = F.col("_at")
 
     def lag(column: str, k: int) -> Column:
-        here = F.when(at >= k, F.col("_rows")[F.greatest(at - k, F.lit(0))][column])
+        here = F.when(at >= k, F.col(ROWS)[F.greatest(at - k, F.lit(0))][column])
         return here.otherwise(F.try_element_at("_before", at - k)[column]) if depth else here
 
     return spread.select(

@@ -52,14 +52,18 @@ def dated_events(spark: SparkSession, folder: str) -> DataFrame:
     return events(spark, folder).withColumn("landing_date", day)
 
 
+def hourly_once(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly bars for what passes over them once, as averages and patterns do, which store chunks of them."""
+    return op.klines(events(spark, folder), HOUR, ids_follow_time=True)
+
+
 def hourly(spark: SparkSession, folder: str) -> DataFrame:
-    """Hourly bars, written once: the indicators pass over them more than once."""
-    return stage(op.klines(events(spark, folder), HOUR, ids_follow_time=True), "bars")
+    """Hourly bars, written once: moving windows pass over them more than once."""
+    return stage(hourly_once(spark, folder), "bars")
 
 
 def hourly_by_day(spark: SparkSession, folder: str) -> DataFrame:
-    bars = op.klines(dated_events(spark, folder), HOUR, ("landing_date", "symbol"))
-    return stage(bars, "bars")
+    return op.klines(dated_events(spark, folder), HOUR, ("landing_date", "symbol"))
 
 
 def event_stream_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -217,11 +221,11 @@ def ma7_full(spark, folder):
 
 
 def ema7_ema20(spark, folder):
-    return _of_bar(op.ema(hourly(spark, folder)), "close_price", "ema7", "ema20")
+    return _of_bar(op.ema(hourly_once(spark, folder)), "close_price", "ema7", "ema20")
 
 
 def ema_first_seed(spark, folder):
-    found = op.ema(hourly(spark, folder), (7,), seed="first", digits=None)
+    found = op.ema(hourly_once(spark, folder), (7,), seed="first", digits=None)
     return _of_bar(found, F.round("ema7", 6).alias("ema7"))
 
 
@@ -242,31 +246,31 @@ def ema_chunked(spark, folder):
 
 
 def rsi6(spark, folder):
-    return _of_bar(op.rsi(hourly(spark, folder)), "rsi6")
+    return _of_bar(op.rsi(hourly_once(spark, folder)), "rsi6")
 
 
 def macd(spark, folder):
     names = ("ema12", "ema26", "macd", "signal", "histogram")
-    return _of_bar(op.macd(hourly(spark, folder)), *names)
+    return _of_bar(op.macd(hourly_once(spark, folder)), *names)
 
 
 def trend_counts(spark, folder):
-    rows = op.with_trend(hourly(spark, folder), digits=4)
+    rows = op.with_trend(hourly_once(spark, folder), digits=4)
     return rows.groupBy("symbol", "trend").agg(F.count(F.lit(1)).alias("bars"))
 
 
 # ---- the same over one-minute bars, which cross the borders of chunks --------------------------------
 
 def minutes(spark: SparkSession, folder: str) -> DataFrame:
-    return stage(op.klines(events(spark, folder), MINUTE, ids_follow_time=True), "bars")
+    return op.klines(events(spark, folder), MINUTE, ids_follow_time=True)
 
 
 def minutes_by_day(spark: SparkSession, folder: str) -> DataFrame:
-    return stage(op.klines(dated_events(spark, folder), MINUTE, ("landing_date", "symbol")), "bars")
+    return op.klines(dated_events(spark, folder), MINUTE, ("landing_date", "symbol"))
 
 
 def sma_minutes(spark, folder):
-    return _of_bar(op.sma(minutes(spark, folder)), "sma7")
+    return _of_bar(op.sma(stage(minutes(spark, folder), "bars")), "sma7")
 
 
 def ema_minutes(spark, folder):
@@ -296,22 +300,22 @@ def stars_minutes(spark, folder):
 def flat_trend_minutes(spark, folder):
     """Prices in steps of 25, so that they stand still for stretches; trend on unrounded averages, short chunks."""
     steps = F.floor(F.col("price") / 25) * 25 + F.lit(1.1)
-    bars = stage(op.klines(events(spark, folder).withColumn("price", steps), MINUTE, ids_follow_time=True), "bars")
+    bars = op.klines(events(spark, folder).withColumn("price", steps), MINUTE, ids_follow_time=True)
     return _of_bar(op.with_trend(bars, digits=4, on="raw", span=512), "close_price", "ema7", "ema20", "trend")
 
 
 # ---- patterns and serving -----------------------------------------------------------------------
 
 def pattern_hammer(spark, folder):
-    return op.pattern_one(hourly(spark, folder))
+    return op.pattern_one(hourly_once(spark, folder))
 
 
 def pattern_engulfing(spark, folder):
-    return op.pattern_two(hourly(spark, folder), scope="continuous")
+    return op.pattern_two(hourly_once(spark, folder), scope="continuous")
 
 
 def pattern_engulfing_raw(spark, folder):
-    return op.pattern_two(hourly(spark, folder), scope="continuous", on="raw")
+    return op.pattern_two(hourly_once(spark, folder), scope="continuous", on="raw")
 
 
 def pattern_engulfing_day(spark, folder):
@@ -319,11 +323,11 @@ def pattern_engulfing_day(spark, folder):
 
 
 def pattern_stars(spark, folder):
-    return op.pattern_three(hourly(spark, folder))
+    return op.pattern_three(hourly_once(spark, folder))
 
 
 def only_patterns(spark, folder):
-    return op.only_patterns(op.pattern_three(hourly(spark, folder)))
+    return op.only_patterns(op.pattern_three(hourly_once(spark, folder)))
 
 
 def plot_bars(spark, folder):

@@ -14,7 +14,6 @@ from candlemill.functions.recurrences import Averages, missing, trunc_half_up
 from candlemill.operators.chunks import SPAN
 from candlemill.operators.patterns import pattern_two
 from candlemill.schemas import STREAM_PATTERN
-from candlemill.session import stage
 
 DIGITS = 4
 STATE = T.StructType()
@@ -87,6 +86,5 @@ def stream_patterns(bars: DataFrame) -> DataFrame:
 def bounded_patterns(bars: DataFrame, interval_s: int = 900, span: int = SPAN) -> DataFrame:
     """What ``stream_patterns`` gives, for bars that are all there: spread over chunks of a symbol."""
     bucket = F.expr(f"unix_seconds(window_start) div {int(interval_s)}")
-    numbered = stage(bars.withColumn("group_id", bucket), "bars")
-    found = pattern_two(numbered, scope="continuous", on="raw", digits=DIGITS, span=span)
+    found = pattern_two(bars.withColumn("group_id", bucket), scope="continuous", on="raw", digits=DIGITS, span=span)
     return found.withColumnRenamed("pattern", "engulfing_pattern").select(*STREAM_PATTERN.names)

@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 import pytest
@@ -37,6 +38,33 @@ def test_bars(spark, follows):
         assert (b.group_id, b.group_date, b.open_price) == (1, "1970-01-01 00:15:00", 1.0)
 
 
+@pytest.mark.parametrize("base", [0, -(1 << 40), (1 << 30) - 100, (1 << 31) - 100, (1 << 32) - 100, (1 << 63) - 300, -(1 << 63)])
+def test_ids_across_any_border(spark, base):
+    """Hash and sorting form agree, ties and null ids and prices included, wherever the ids lie."""
+    draw = random.Random(base)
+    rows = [("A", None if i % 31 == 7 else base + i, None if i % 17 == 3 else float(draw.randrange(9)), 1.0, draw.randrange(40) * 100 * US) for i in range(300)]
+    draw.shuffle(rows)
+    key = lambda r: (r[1] is not None, r[1] or 0)
+    df = trades(spark, rows)
+    for interval in (900, 3600):
+        got = {r.group_id: (r.open_price, r.close_price) for r in klines(df, interval).collect()}
+        assert got == {r.group_id: (r.open_price, r.close_price) for r in klines(df, interval, wide_ids=True).collect()}
+        for group, (open_, close) in got.items():
+            own = [r for r in rows if r[4] // (interval * US) == group and r[2] is not None]
+            same = lambda r, other: r[4] == other[4] and key(r) == key(other)  # noqa: E731, B023
+            first, last = (f(own, key=lambda r: (r[4], key(r))) for f in (min, max))
+            assert open_ in {r[2] for r in own if same(r, first)} and close in {r[2] for r in own if same(r, last)}
+
+
+def test_ids_too_far_apart_fail_loudly(spark):
+    df = trades(spark, [("A", 1, 10.0, 1.0, 0), ("A", 1 << 40, 11.0, 1.0, US), ("A", None, 12.0, 1.0, 5)])
+    with pytest.raises(Exception, match="wide_ids"):
+        klines(df).collect()
+    row = klines(df, wide_ids=True).first()
+    assert (row.open_price, row.close_price) == (10.0, 11.0)
+    assert klines(df, 86_400).first().close_price == 11.0  # a day in microseconds leaves few bits: both numbers are kept
+
+
 def test_scales(spark):
     row = klines(trades(spark, [("A", 1, 1.23456, 1.26, 0)])).first()
     assert (row.open_price, row.volume) == (1.2346, 1.3)

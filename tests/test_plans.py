@@ -5,6 +5,7 @@ import os
 import pytest
 
 from candlemill import operators as op
+from candlemill.operators.chunks import bucket_chunk, packed, packed_by_rows
 from candlemill.plans import queries as q
 
 FOLDER = "/root/testdata/sf0.001"
@@ -53,9 +54,32 @@ def test_no_indicator_uses_one_partition_or_a_cross_join(spark, name):
 
 
 def test_pattern_shuffles(spark):
-    """Values by chunk, summaries by key, rows with their starting states by chunk; lags move nothing."""
+    """Beside what stores the chunks, the summaries move, by key; rows and lags do not."""
     bars = q.hourly(spark, FOLDER)
-    assert plan(op.pattern_three(bars)).count("Exchange hashpartitioning") == 3
+    assert plan(op.pattern_three(bars)).count("Exchange hashpartitioning") == 1
+
+
+def test_rows_move_once_into_chunks(spark, monkeypatch):
+    monkeypatch.setattr("candlemill.operators.chunks.stage", lambda df, label: df)
+    bars = q.hourly(spark, FOLDER)
+    text = plan(packed(bars, ["symbol"], ["group_id"], bucket_chunk()))
+    assert text.count("Exchange") == text.count("Exchange hashpartitioning(symbol") == 1
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.count", lambda df: pytest.fail("counted"))
+    text = plan(packed_by_rows(q.events(spark, FOLDER), ["symbol"], ["timestamp", "agg_trade_id"]))
+    assert text.count("Exchange") == text.count("Exchange rangepartitioning(symbol") == 1
+
+
+def test_summaries_read_the_value_alone(spark):
+    text = plan(op.ema(q.hourly(spark, FOLDER)).select("symbol", "group_id", "ema7"))
+    assert "ReadSchema: struct<symbol:string,_chunk:bigint,_rows:array<struct<close_price:double>>>" in text
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_bars_of_an_hour_are_hashed(spark, wide):
+    text = plan(op.klines(q.events(spark, FOLDER), q.HOUR, wide_ids=wide))
+    assert ("SortAggregate" in text) == wide
+    assert plan(q.klines_1h(spark, FOLDER)).count("SortAggregate") == 0
+
 
 
 def test_charts_open_only_their_days(spark, tmp_path):

@@ -1,10 +1,12 @@
+import random
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from candlemill.functions.recurrences import Averages, DecimalAverage, Macd, Rsi, trunc_half_up
+from candlemill.functions.recurrences import Averages, DayAverages, DecimalAverage, Macd, Rsi, trunc_half_up
 from helpers import half_up, slow_ema, slow_macd, slow_rsi, wave
 
 
@@ -126,3 +128,74 @@ def test_decimal_average_starts_at_the_given_value():
     assert out == [1.43, 6.07] and Decimal(state[0]) == Decimal("6.0725")
     with pytest.raises(ValueError):
         fold.run([(10.0, None)], fold.start())
+
+
+def many_series():
+    """Flat, noisy, mixed, small, large and signed ones, with chunk borders at all sorts of places."""
+    draw = random.Random(3)
+    steps, at = [], 60_000.0
+    for _ in range(1500):
+        at = round(at + draw.gauss(0, 5), 2)
+        steps.append(at)
+    return {
+        **SERIES, "walk": steps, "flat": [1.1] * 1500, "signed": [draw.gauss(0, 1) for _ in range(1500)],
+        "below zero": [-draw.random() * 1e9 for _ in range(1500)], "beyond lanes": [draw.random() * 1e15 for _ in range(300)],
+        "beneath lanes": [draw.random() * 1e-40 for _ in range(300)], "two prices": [float(draw.randrange(2)) for _ in range(1500)],
+    }
+
+
+@pytest.mark.parametrize("values", many_series().values(), ids=many_series())
+def test_many_at_once_equal_one_by_one(values):
+    cuts = [0, 70, 134, 135, *range(235, len(values), 217), len(values)]
+    begins, ends = cuts[:-1], cuts[1:]
+    for fold in (Averages([7, 20]), Averages([7, 20], "first"), Averages([200]), Macd(), Macd(3, 5, 2)):
+        heads = [min(b + fold.head, e) for b, e in zip(begins, ends)]
+        state, states = fold.start(), []
+        for b, h, e, rest in zip(begins, heads, ends, fold.rest_all(np.array(values), heads, ends)):
+            assert (rest is None) == (h == e)
+            states.append(state)
+            state = fold.run(values[b:h], state)[1]
+            state = state if rest is None else fold.after(state, rest)
+        for got, want in zip(fold.run_all(np.array(values), begins, ends, states), fold.run(values, fold.start())[0]):
+            assert [None if x != x else x for x in got.tolist()] == want
+
+
+@pytest.mark.parametrize("values", many_series().values(), ids=many_series())
+@pytest.mark.parametrize("period", [1, 2, 6, 14])
+def test_strength_in_doubles_equals_decimals(values, period):
+    fold = Rsi(period)
+    holed = [None if i % 41 == 40 else v for i, v in enumerate(values)] + values[-1:] * 2500
+    want = fold.run(holed, fold.start())[0]
+    assert fold.outputs(holed, fold.start()) == want
+    at = 150
+    state = fold.run(holed[:at], fold.start())[1]
+    assert fold.outputs(holed[at:], state)[0] == want[0][at:]
+    # the last values of a long stretch stand for all of it
+    tail = [v for v in holed[at:] if v is not None]
+    end = fold.after(state, fold.rest(tail, float(state[3])))
+    more = wave(50)
+    assert fold.run(more, end)[0][0] == fold.run(tail + more, state)[0][0][len(tail):]
+
+
+def test_a_day_stands_for_itself_or_is_kept():
+    draw, fold = random.Random(5), DayAverages([7, 20], 4)
+    rounded = lambda state: [state[0], trunc_half_up(state[1], 4), state[2], trunc_half_up(state[3], 4)]
+    spoken, kept = 0, 0
+    for day in range(300):
+        base = draw.choice([0.01, 1.0, 3000.0, 1e8])
+        values = [None if draw.random() < 0.01 else round(base * draw.uniform(0.9, 1.1), 6) for _ in range(draw.choice([5, 96, 700, 1440]))]
+        found = fold.guess(values)
+        if found is None:
+            kept += len(values) > 600
+            continue
+        spoken += 1
+        for start in (fold.start(), [7.0, base, 0.0, 0.0], [7.0, 0.0, 20.0, 5e8], [7.0, -1e9, 20.0, 1e9], [7.0, 1e11, 20.0, -3e10]):
+            assert rounded(fold.after(start, found)) == rounded(fold.run(values, start)[1])
+    assert spoken > 100 and kept < 10  # only days that end too near a tie
+    assert fold.guess([]) is None and fold.guess([None]) is None and fold.guess([1.0] * 50) is None
+
+
+def test_infinite_values_count_as_missing():
+    inf = float("inf")
+    for fold in (Averages([7, 20]), Macd(), Rsi()):
+        assert fold.run([1.0, inf, 2.0, -inf], fold.start()) == fold.run([1.0, None, 2.0, None], fold.start())
