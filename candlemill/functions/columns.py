@@ -38,3 +38,8 @@ def loose_boolean(text: Column | str) -> Column:
     """True only for the word ``true`` in any case, padded or not."""
     text = F.col(text) if isinstance(text, str) else text
     return F.lower(F.trim(text)) == "true"
+
+
+def shown(value: Column | str, digits: int = 10) -> Column:
+    """A number as text with thousands set apart and ``digits`` decimals."""
+    return F.format_number(value, digits)

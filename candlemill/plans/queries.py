@@ -6,20 +6,26 @@ import io
 import zipfile
 from collections.abc import Callable, Iterator
 from datetime import date
+from functools import reduce
+from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlemill import operators as op
-from candlemill.plans.jobs import PATTERNS, find_patterns, transform
+from candlemill.functions.columns import shown
+from candlemill.plans.jobs import LANDING, PATTERNS, find_patterns, land, run_range, transform
 from candlemill.schemas import STREAM_BAR, STREAM_PATTERN, TRADE, TRADE_MESSAGE
 from candlemill.session import fresh_path, prepare, stage
 from candlemill.sinks import (
     encode_alerts,
     encode_trades,
     rejected_trades,
+    replace_table,
     upsert_partitions,
+    write_bars_sink,
     write_landing,
     write_stream_files,
 )
@@ -131,6 +137,21 @@ def ingest_columns(spark, folder):
     return rows.select("agg_trade_id", same_day.alias("same_day"))
 
 
+def ingest_profile(spark, folder):
+    """What landing adds: the types, and how many rows have a value."""
+    rows = op.add_ingest_columns(events(spark, folder))
+    names = ("ingest_date", "ingest_timestamp")
+    types = [F.min(F.typeof(n)).alias(f"{n}_type") for n in names]
+    fresh = F.count_if(F.abs(F.date_diff(F.current_date(), "ingest_date")) <= 1)
+    return rows.agg(*types, *[F.count(n).alias(f"{n}_rows") for n in names], fresh.alias("fresh_rows"))
+
+
+def shown_prices(spark, folder):
+    """Numbers as text."""
+    thousands = F.round(F.col("price") * 1000, 2)
+    return events(spark, folder).select("agg_trade_id", shown(thousands).alias("price"), shown("quantity", 2).alias("quantity"))
+
+
 def tag_columns(spark, folder):
     rows = op.tag_run(events(spark, folder), "BTCUSDT", "2025-10-01")
     return rows.select("agg_trade_id", "symbol", "landing_date")
@@ -347,8 +368,9 @@ def chart_series(spark, folder):
 
 # ---- files, tables, jobs ------------------------------------------------------------------------
 
-def _trade_file_columns(trades: DataFrame) -> DataFrame:
+def _trade_file_columns(trades: DataFrame, *more) -> DataFrame:
     return trades.select(
+        *more,
         "agg_trade_id", "price", "quantity", F.col("agg_trade_id").alias("first_trade_id"),
         F.col("agg_trade_id").alias("last_trade_id"), "timestamp", "is_buyer_maker",
         F.lit(True).alias("is_best_match"),
@@ -409,6 +431,79 @@ def day_jobs(spark, folder):
     )
 
 
+def _named_files(trades: DataFrame, root: str, period: Column) -> None:
+    """Trade files named by symbol and ``period``, as an exchange publishes them: one for each, wherever its rows are."""
+    spark = trades.sparkSession
+    rows = _trade_file_columns(trades, "symbol", period.alias("_period"))
+    rows.repartition("symbol", "_period").write.partitionBy("symbol", "_period").csv(f"{root}/by-name", header=False)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(f"{root}/in"))
+    for symbol in files.listStatus(path(f"{root}/by-name")):
+        name = symbol.getPath().getName()
+        for part in files.listStatus(symbol.getPath()) if name.startswith("symbol=") else ():
+            label = f"{name[7:]}-aggTrades-{part.getPath().getName()[8:]}"
+            for number, file in enumerate(files.listStatus(part.getPath())):
+                files.rename(file.getPath(), path(f"{root}/in/{label}.{number}.csv"))
+
+
+def land_days(spark, folder):
+    """The job of a range of days from the files on: landed, made into bars, labelled."""
+    root = fresh_path(prepare(spark), "lake")
+    _named_files(dated_events(spark, folder), root, F.col("landing_date").cast("string"))
+    run_range(spark, f"{root}/in/*.csv", root, date(2024, 1, 1), date(2024, 1, 31), interval_s=HOUR)
+    return spark.read.parquet(f"{root}/{PATTERNS}").select(
+        "symbol", "landing_date", "group_id", "close_price", "ema7", "ema20", "trend", "pattern"
+    )
+
+
+def land_month(spark, folder):
+    """Files of a month: each trade lands on the day it happened."""
+    root = fresh_path(prepare(spark), "lake")
+    _named_files(events(spark, folder), root, F.date_format(F.timestamp_micros("timestamp"), "yyyy-MM"))
+    land(spark, f"{root}/in/*.csv", root)
+    landed = spark.read.parquet(f"{root}/{LANDING}")
+    return landed.select("agg_trade_id", "price", "quantity", "timestamp", "is_buyer_maker", "symbol", "landing_date")
+
+
+def table_modes(spark, folder):
+    """A table that is created, not created again, appended to, and at last replaced."""
+    rows = events(prepare(spark), folder).select("agg_trade_id", "price", "symbol")
+    name = f"trades_{uuid4().hex}"
+    steps = []
+
+    def note(step: str) -> None:
+        there = spark.catalog.tableExists(name)
+        found = spark.table(name) if there else rows.limit(0)
+        steps.append(found.groupBy("symbol").agg(F.count("*").alias("rows"), F.sum(F.floor("price")).alias("prices")).withColumn("step", F.lit(step)))
+        steps[-1] = stage(steps[-1], "table-step")
+
+    note("missing")
+    replace_table(rows.where("symbol = 'click'"), name, "errorifexists")
+    note("created")
+    try:
+        replace_table(rows, name, "errorifexists")
+    except AnalysisException:
+        note("kept")
+    replace_table(rows.where("symbol = 'view'"), name, "append")
+    note("appended")
+    replace_table(rows.where("symbol <> 'view'"), name)
+    note("replaced")
+    spark.sql(f"DROP TABLE {name}")
+    return reduce(DataFrame.unionByName, steps)
+
+
+def sink_days(spark, folder):
+    """Bars written by micro-batch, one of them twice: each has the day it was written, none is there twice."""
+    path = fresh_path(prepare(spark), "bars-sink")
+    bars = stage(stream_klines(event_stream_rows(spark, folder), "1 hour", delay=None), "bars")
+    for batch, rows in ((0, "day(landing_date) < 11"), (1, "day(landing_date) >= 11"), (1, "day(landing_date) >= 11")):
+        write_bars_sink(bars.where(rows), path, batch)
+    today = F.date_diff(F.current_date(), "created_at").between(0, 1)
+    return spark.read.parquet(path).groupBy("symbol", "landing_date").agg(
+        F.count("*").alias("bars"), F.count_if(today).alias("dated"), F.min(F.typeof("created_at")).alias("created_at_type"))
+
+
 # ---- messages and streams -----------------------------------------------------------------------
 
 def encode_trade_messages(spark, folder):
@@ -561,6 +656,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         plot_sma, chart_series, csv_ingest, zip_ingest, landing_read, upsert_rows, day_jobs,
         stream_slow_symbol, encode_trade_messages, rejected_trade_counts, encode_alert_messages, bounded_engulfing, stream_bars,
         stream_engulfing, stream_alerts, stream_copy, stream_trade_files, stream_stored_bars,
-        stream_read_alerts,
+        stream_read_alerts, ingest_profile, shown_prices, land_days, land_month, table_modes, sink_days,
     )
 }

@@ -225,6 +225,21 @@ SELECT agg_trade_id,
        strftime(make_timestamp("timestamp" // {QUARTER} * {QUARTER}), '%Y-%m-%d %H:%M:%S') AS group_date
 FROM t""",
     "ingest_columns": f"WITH {TRADES} SELECT agg_trade_id, true AS same_day FROM t",
+    "ingest_profile": f"""WITH {TRADES}
+SELECT 'date' AS ingest_date_type, 'timestamp' AS ingest_timestamp_type, count(*) AS ingest_date_rows,
+       count(*) AS ingest_timestamp_rows, count(*) AS fresh_rows FROM t""",
+    "shown_prices": f"""WITH {TRADES}
+SELECT agg_trade_id, format('{{:,.10f}}', round(price * 1000, 2)) AS price, format('{{:,.2f}}', quantity) AS quantity FROM t""",
+    "land_days": f"""{DAY_BARS}, {DAY_EMA}
+SELECT symbol, landing_date, group_id, close_price, ema7, ema20, trend, {ENGULFING} AS pattern FROM x""",
+    "land_month": f"""WITH {TRADES}
+SELECT agg_trade_id, price, quantity, "timestamp", is_buyer_maker, symbol, landing_date FROM t""",
+    "table_modes": f"""WITH {TRADES}, s(step, symbols) AS (VALUES
+  ('created', ['click']), ('kept', ['click']), ('appended', ['click', 'view']),
+  ('replaced', ['click', 'error', 'purchase', 'signup']))
+SELECT step, symbol, count(*) AS rows, sum(floor(price))::BIGINT AS prices FROM t JOIN s ON list_contains(symbols, symbol) GROUP BY ALL""",
+    "sink_days": f"""{STREAM_X}
+SELECT symbol, landing_date, count(*) AS bars, count(*) AS dated, 'date' AS created_at_type FROM z GROUP BY ALL""",
     "tag_columns": f"""WITH {TRADES}
 SELECT agg_trade_id, 'BTCUSDT' AS symbol, DATE '2025-10-01' AS landing_date FROM t""",
     "row_counts": f"""WITH {TRADES}
