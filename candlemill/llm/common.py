@@ -52,18 +52,20 @@ def running(df: DataFrame, by: list[str], chunk: str, order: list, value: Column
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(text, label) of at most ``most`` labelled documents that are not held out: a classifier's sample.
 
-    Which ones is decided by a hash of the id, so reruns agree. An id labelled twice has the larger label;
-    null ids and labels are left out. The sample's ids are few by the bound, so they are broadcast and the
-    documents stay where they are.
+    Which ones is decided by a hash of the id, so reruns agree. An id labelled twice has the larger label, and of an id
+    with several documents the text that sorts first is taken, so the bound holds for rows too. Null ids and labels are
+    left out. If no more ids qualify, all are taken. The sample's ids are few by the bound, so they are broadcast and
+    the documents stay where they are.
     """
     known = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     )
-    share = min(1.0, 1.2 * most / max(1, labels.count()))
+    share = min(1.0, 1.2 * most / max(1, known.count()))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     ids = known.where(draw < int(share * (1 << 30)) + 1).orderBy(draw, "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.col("_label").alias("label"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_label").alias("label"))
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

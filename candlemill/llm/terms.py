@@ -18,11 +18,11 @@ KNOWN_WORDS = 500_000
 class Known(dict):
     """A memory of what has been worked out for a word; it starts anew when full, which changes no result."""
 
-    def __init__(self, find: Callable[[bytes], int]):
-        self.find = find
+    def __init__(self, find: Callable[[bytes], object], most: int = KNOWN_WORDS):
+        self.find, self.most = find, most
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
+    def __missing__(self, word: bytes):
+        if len(self) >= self.most:
             self.clear()
         found = self[word] = self.find(word)
         return found
@@ -41,10 +41,13 @@ def sample_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, terms
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), rows, batch.column(2)], ["id", "terms", "label"])
 
     found = labelled(docs, labels, label, most).mapInArrow(per_batch(run), "id string, terms array<int>, label int").toArrow()
-    order = np.lexsort((np.array([len(x) for x in found["terms"].to_pylist()]), np.array(found["id"].to_pylist(), str))) if found.num_rows else []
-    terms = found["terms"].combine_chunks().to_numpy(zero_copy_only=False) if found.num_rows else []
+    order = np.argsort(np.array(found["id"].to_pylist(), str), kind="stable")
     y = np.array(found["label"].to_pylist(), float)
-    return [np.asarray(terms[i], np.int64) for i in order], y[order] if len(y) else y
+    if not len(y):
+        return [], y
+    lists = found["terms"].combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return [flat[ends[i] : ends[i + 1]] for i in order], y[order]
 
 
 def frequent(rows: list[np.ndarray], least: int) -> np.ndarray:

@@ -9,6 +9,7 @@ less the sum of squares.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,15 +22,24 @@ CALIBRATING = 4  # each so many-th row of the sample is left for the logistic cu
 LEAST_SHARE = 1 / 800  # of the sample's rows that have a term, for it to be learned
 FACTORS = 4
 THRESHOLD = 0.3
+STEMS = (4, 7)  # of words longer than that, the first letters are terms too
+MEMORY = 200_000
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-_known = Known(lambda word: bucket(word.strip(_MARKS)))
+
+def _of_word(word: bytes) -> list[int]:
+    word = word.strip(_MARKS)
+    letters = word.decode("utf-8", "replace")
+    return [bucket(word), *(bucket(letters[:n].encode(), n) for n in STEMS if len(letters) > n)]
+
+
+_known = Known(_of_word, MEMORY)
 
 
 def terms(text: bytes) -> np.ndarray:
-    """The buckets of a text's words (A-Z lower-cased, without marks around them), each once, sorted."""
-    words = set(text.lower().split())
-    return np.unique(np.fromiter(map(_known.__getitem__, words), np.int64, len(words)))
+    """The buckets of a text's words (A-Z lower-cased, without marks around them) and of their stems, by which forms of a
+    word that were never seen are known; each once, sorted."""
+    return np.unique(np.fromiter(chain.from_iterable(map(_known.__getitem__, set(text.lower().split()))), np.int64))
 
 
 @dataclass
@@ -50,71 +60,113 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(terms(text)) + self.offset, -50, 50))))
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, n: int, factors: int = FACTORS, rounds: int = 100, alone: int = 40, rate: float = 0.05,
-            weight_cut: float = 3e-4, vector_cut: float = 7.5e-4) -> tuple[float, np.ndarray, np.ndarray]:
-    """Logistic loss over all rows, proximal Adam steps. The two cuts are penalties on the size of each weight and
-    each vector, which leave exact zeros for terms that say nothing: long texts have thousands of those. The weights
-    are fitted ``alone`` for the first rounds, so that pairs only learn what terms by themselves do not explain."""
+class Adam:
+    """Steps of a size that follows each number's own gradients."""
+
+    def __init__(self, rate: float) -> None:
+        self.rate, self.turn, self.mean, self.square = rate, 0, 0.0, 0.0
+
+    def step(self, x: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.turn += 1
+        self.mean = 0.9 * self.mean + 0.1 * g
+        self.square = 0.99 * self.square + 0.01 * g * g
+        size = self.rate / (np.sqrt(self.square / (1 - 0.99**self.turn)) + 1e-4)
+        return x - size * self.mean / (1 - 0.9**self.turn), size
+
+
+class Rows:
+    """Rows of terms, as one array of places and one of the rows they are in."""
+
+    def __init__(self, rows: list[np.ndarray], n: int) -> None:
+        self.count, self.n = len(rows), n
+        self.at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+
+    def by_row(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, values[self.at], minlength=self.count)
+
+    def by_term(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, values[self.row], minlength=self.n)
+
+    def sums(self, v: np.ndarray) -> np.ndarray:
+        return np.stack([self.by_row(v[:, f]) for f in range(v.shape[1])], 1)
+
+    def margins(self, bias: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return bias + self.by_row(w) + ((self.sums(v) ** 2).sum(axis=1) - self.by_row((v * v).sum(axis=1))) / 2
+
+
+def _loss(margin: np.ndarray, y: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(y == 1, -margin, margin)).mean())
+
+
+def descend(rows: list[np.ndarray], y: np.ndarray, n: int, factors: int = FACTORS, rounds: int = 220, alone: int = 100, rate: float = 0.05,
+            pair_rate: float = 0.005, weight_cut: float = 0.014, shrink: float = 3e-4,
+            unseen: tuple[list[np.ndarray], np.ndarray] | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Logistic loss over all rows. ``alone`` rounds fit the weights, each under a penalty on its size (``weight_cut`` by the root of the rows, as
+    chance gives a term that much) that leaves exact zeros for terms that say nothing: long texts have thousands of those. Then terms with a weight get vectors, and
+    weights and vectors learn together; vectors shrink in proportion (a cut like the weights' would take
+    them all, as pairs are rare). Of those rounds the one counts that does best on ``unseen`` rows, so pairs are
+    learned as far as they hold beyond the rows they come from."""
     draw = np.random.default_rng(11)
-    w, v = np.zeros(n), draw.normal(0, 0.01, (n, factors))
-    p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    bias = float(np.log(p / (1 - p)))
-    at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (np.zeros(1), w, v)]
-
-    def step(x, g, s, k):
-        s[0] = 0.9 * s[0] + 0.1 * g
-        s[1] = 0.99 * s[1] + 0.01 * g * g
-        size = rate / (np.sqrt(s[1] / (1 - 0.99**k)) + 1e-4)
-        return x - size * s[0] / (1 - 0.9**k), size
-
-    for k in range(1, rounds + 1):
-        paired = k > alone
-        pairs = 0.0
-        if paired:
-            sums = np.stack([np.bincount(row, v[at, f], minlength=len(rows)) for f in range(factors)], 1)
-            squares = np.bincount(row, (v * v).sum(axis=1)[at], minlength=len(rows))
-            pairs = ((sums**2).sum(axis=1) - squares) / 2
-        margin = bias + np.bincount(row, w[at], minlength=len(rows)) + pairs
-        g = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y) / len(y)
-        gw = np.bincount(at, g[row], minlength=n)
-        if not paired:
-            w, size = step(w, gw, state[1], k)
-            w = np.sign(w) * np.maximum(np.abs(w) - size * weight_cut, 0)
-            bias = float(step(np.array([bias]), np.array([g.sum()]), state[0], k)[0][0])
-            continue
-        gv = np.stack([np.bincount(at, (g[:, None] * sums)[row, f], minlength=n) for f in range(factors)], 1) - gw[:, None] * v
-        bias = float(step(np.array([bias]), np.array([g.sum()]), state[0], k)[0][0])
-        w, size = step(w, gw, state[1], k)
-        w = np.sign(w) * np.maximum(np.abs(w) - size * weight_cut, 0)
-        v, size = step(v, gv, state[2], k - alone)
-        length = np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        v = v * np.maximum(1 - size.mean(axis=1, keepdims=True) * vector_cut / length, 0)
-    return bias, w, v
+    w, p = np.zeros(n), np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    bias = np.array([np.log(p / (1 - p))])
+    table, adam = Rows(rows, n), [Adam(rate), Adam(rate)]
+    error = lambda margin: (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y) / len(y)
+    for _ in range(min(alone, rounds)):
+        g = error(bias + table.by_row(w))
+        w, size = adam[0].step(w, table.by_term(g))
+        w = np.sign(w) * np.maximum(np.abs(w) - size * weight_cut / np.sqrt(len(y)), 0)
+        bias, _ = adam[1].step(bias, g.sum())
+    telling = np.flatnonzero(w)
+    place = np.full(n + 1, -1)
+    place[telling] = np.arange(len(telling))
+    kept = lambda some: Rows([q[q >= 0] for q in (place[r] for r in some)], len(telling))
+    table, start = kept(rows), w[telling]
+    judged = kept(unseen[0]) if unseen else None
+    own, v = start.copy(), draw.normal(0, 0.02, (len(telling), factors))
+    best, least = (float(bias[0]), own, v), np.inf
+    adam = [Adam(pair_rate), Adam(pair_rate)]
+    for k in range(1, rounds - alone + 1):
+        sums = table.sums(v)
+        g = error(table.margins(float(bias[0]), own, v))
+        by_term = table.by_term(g)
+        gv = np.stack([table.by_term(g * sums[:, f]) for f in range(factors)], 1) - by_term[:, None] * v + shrink * v
+        own, _ = adam[0].step(own, by_term + 0.01 * (own - start))
+        v, _ = adam[1].step(v, gv)
+        if judged is None:
+            best = (float(bias[0]), own, v)
+        elif k % 5 == 0:
+            loss = _loss(judged.margins(float(bias[0]), own, v), unseen[1])
+            if loss < least:
+                best, least = (float(bias[0]), own, v), loss
+            elif loss > 1.2 * least:
+                break
+    bias_, own, v = best
+    w, all_v = np.zeros(n), np.zeros((n, factors))
+    w[telling], all_v[telling] = own, v
+    return bias_, w, all_v
 
 
 def fit_rows(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """Penalties draw margins towards zero; a logistic curve over margins of rows that the machine has not seen puts
-    the scores right."""
+    """Rows that the machine has not learned from say how far pairs go, and a logistic curve over their margins puts
+    the scores right, which penalties draw towards zero."""
     aside = np.arange(len(labels)) % CALIBRATING == CALIBRATING - 1
     all_rows, y = [r for r, a in zip(rows, aside) if not a], labels[~aside]
     vocabulary = frequent(all_rows, max(3, round(len(y) * LEAST_SHARE)))
     n = len(vocabulary)
     place = np.full(BUCKETS, n, np.int32)
-    place[vocabulary] = np.arange(n)
     if not 0 < y.sum() < len(y):
         p = (y.sum() + 1) / (len(y) + 2)
-        return Machine(float(np.log(p / (1 - p))), place, np.zeros(n + 1), np.zeros((n + 1, FACTORS)))
-    bias, w, v = descend(compact(all_rows, vocabulary), y, n)
+        return Machine(float(np.log(p / (1 - p))), np.zeros(BUCKETS, np.int32), np.zeros(1), np.zeros((1, FACTORS)))
+    t, left = labels[aside], [r for r, a in zip(rows, aside) if a]
+    both = 0 < t.sum() < len(t)
+    bias, w, v = descend(compact(all_rows, vocabulary), y, n, unseen=(compact(left, vocabulary), t) if both else None)
     telling = (w != 0) | v.any(axis=1)
     place[:] = telling.sum()
     place[vocabulary[telling]] = np.arange(telling.sum())
     found = Machine(bias, place, np.append(w[telling], 0.0), np.vstack([v[telling], np.zeros((1, FACTORS))]))
-    t = labels[aside]
-    if 0 < t.sum() < len(t):
-        margins = np.array([found.margin(r) for r, a in zip(rows, aside) if a])
-        found.slope, found.offset = logistic_curve(margins, t)
+    if both:
+        found.slope, found.offset = logistic_curve(np.array([found.margin(r) for r in left]), t)
     return found
 
 

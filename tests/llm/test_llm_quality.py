@@ -132,3 +132,57 @@ def test_pairs_count_for_more_than_their_terms():
 
     assert ((np.array([score(r) for r in rows]) > 0) == np.array(y)).mean() > 0.98
     assert v[0] @ v[1] > 0.5
+
+
+def planted_pairs(n, seed):
+    """Texts of an insult, a group or both; only both together are toxic."""
+    draw, rows, toxic = np.random.default_rng(seed), [], []
+    for i in range(n):
+        insult, group = (int(x) for x in draw.integers(0, 2, 2))
+        words = [f"w{draw.integers(60)}" for _ in range(12)] + ["vermin"] * insult + ["foreigners"] * group
+        rows.append((i, " ".join(draw.permutation(words))))
+        toxic.append(insult and group)
+    return rows, toxic
+
+
+def test_insult_and_group_are_toxic_together_only(spark):
+    rows, toxic = planted_pairs(1600, 5)
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], LABELS)
+    out = toxicity.toxicity_scores(docs(spark, rows), labels).where("held_out").collect()
+    assert len(out) > 300 and sum(r.predicted == toxic[r.doc_id] for r in out) > 0.97 * len(out)
+
+
+def test_machine_equals_the_plain_sum_over_pairs(spark):
+    rows, toxic = planted_pairs(400, 6)
+    found = [toxicity.terms(t.encode()) for _, t in rows]
+    machine = toxicity.fit_rows(found, np.array(toxic, float))
+    assert machine.factors.any(axis=1).sum() > 2
+    for r in found[:40]:
+        at = machine.place[r]
+        plain = machine.bias + sum(machine.weights[i] for i in at)
+        plain += sum(machine.factors[i] @ machine.factors[j] for a, i in enumerate(at) for j in at[a + 1:])
+        assert machine.margin(r) == pytest.approx(plain, abs=1e-9)
+    table = toxicity.Rows([machine.place[r] for r in found], len(machine.weights))
+    assert table.margins(machine.bias, machine.weights, machine.factors) == pytest.approx([machine.margin(r) for r in found])
+
+
+def test_stems_stand_for_forms_never_seen():
+    same = set(toxicity.terms("Disgusting!".encode()).tolist()) & set(toxicity.terms("disgusted".encode()).tolist())
+    assert len(same) == 2 and len(toxicity.terms(b"cat cat CAT")) == 1 and len(toxicity.terms(b"")) == 0
+    assert len(set(toxicity.terms("äöüßé".encode()).tolist()) & set(toxicity.terms("äöüßó".encode()).tolist())) == 1
+
+
+def test_sample_is_as_large_as_it_can_be(spark):
+    """Null labels do not shrink it, repeated ids do not swell it, and few labels are all taken."""
+    from candlemill.llm.common import labelled as draw
+
+    table = docs(spark, [(i % 5000, f"text {i}") for i in range(8000)])
+    known = spark.createDataFrame([(i, 1 if i % 100 == 0 else None, 0) for i in range(5000)] * 3, LABELS)
+    qualify = {r[0] for r in known.where("quality = 1").distinct().where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").collect()}
+    got = draw(table, known, "quality", 400).collect()
+    assert sorted(r.doc_id for r in got) == sorted(qualify)
+    assert all(r.text == min(f"text {i}" for i in range(8000) if i % 5000 == r.doc_id) for r in got)
+    many = spark.createDataFrame([(i, 1, 0) for i in range(1000)] * 20, LABELS)
+    got = draw(table, many, "quality", 100).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 100
+    assert draw(table, many.limit(0), "quality", 100).count() == 0
