@@ -2,7 +2,8 @@
 
 Values that pass validation are permuted within their format by a keyed Feistel network: a card number becomes
 another valid card number, a date another date, and equal values become equal ones in every document, so records
-stay linked. Whoever has the key can undo it; nobody else can.
+stay linked, and different ones different ones. The key is a literal of the query: plans and event logs that show it are to be kept as
+closely as the key itself.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-# Days since 1900-01-01 that dates are permuted among: to 2100-02-19. The halves of the network need a product.
-DAY_HALVES = (340, 215)
-
+WALK = 24
+# Dates from 1900-01-01 to 2099-12-31. The halves of the network need a product, which is a little more.
+DAYS, DAY_HALVES = 73_049, (340, 215)
 
 
 def _fours(sep: str) -> str:
@@ -37,7 +38,7 @@ KINDS = {  # in this order, where two could match
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": rf"(?<![0-9])(?:{_CARD}|[0-9](?:(?![ \-](?:{_CARD}|[0-9]{{1,4}}[./][0-9]))[ \-]?[0-9]){{12,18}}(?![0-9]))",
 }
-DATE_FORMS = {r"^[0-9]{4}-": ("yyyy-MM-dd",), r"^[0-9]{4}/": ("yyyy/MM/dd",), r"^[0-9]{2}\.": ("dd.MM.yyyy",), r"^[0-9]{2}/": ("dd/MM/yyyy", "MM/dd/yyyy")}
+DATE_FORMS = {r"^[0-9]{4}-": "yyyy-MM-dd", r"^[0-9]{4}/": "yyyy/MM/dd", r"^[0-9]{2}\.": "dd.MM.yyyy"}
 LETTERS = [(48, 57), (97, 122), (65, 90), (0xE0, 0xF6), (0xF8, 0xFF), (0xC0, 0xD6), (0xD8, 0xDE)]
 HEX_LETTERS = [(48, 57), (97, 102), (65, 70)]
 
@@ -179,10 +180,20 @@ def _phone(m: Column, key: str) -> Column:
     return let(_digits(m), permuted)
 
 
+def walk(start: Column, again: Callable[[Column], Column], right: Callable[[Column], Column]) -> Column:
+    """A permutation of more values than there are right ones, taken until it comes to a right one: that permutes these
+    among themselves. Where at least 85 in 100 are right, ``WALK`` steps fall short once in 10^19 values."""
+    step = lambda x, i: F.when((i > 0) & right(x), x).otherwise(again(x))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), start, step)
+
+
 def _ssn(m: Column, key: str) -> Column:
-    area = F.substring(m, 1, 3)
-    real = ~area.isin("000", "666") & (area < "900") & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000")
-    return F.when(real, let(permute_digits(_digits(m), key, "ssn"), lambda d: _refill(m, d))).otherwise(m)
+    def real(d: Column) -> Column:
+        area = F.substring(d, 1, 3)
+        return ~area.isin("000", "666") & (area < "900") & (F.substring(d, 4, 2) != "00") & (F.substring(d, 6, 4) != "0000")
+
+    moved = lambda d: let(walk(d, lambda x: permute_digits(x, key, "ssn"), real), lambda x: _refill(m, x))
+    return let(_digits(m), lambda d: F.when(real(d), moved(d)).otherwise(m))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -197,18 +208,46 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    first = F.to_date(F.lit("1900-01-01"))
-    a, b = DAY_HALVES
-    result = m
-    for start, forms in DATE_FORMS.items():
-        new = m
-        for form in reversed(forms):
-            day = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), first)
-            out = lambda d: feistel(F.floor(d / b), d % b, _lit(a), _lit(b), key, "date")
-            moved = let(day, lambda d: let(out(d), lambda x: F.date_add(first, (x["l"] * b + x["r"]).cast("int"))))
-            new = F.when(day.between(0, a * b - 1), F.date_format(moved, form)).otherwise(new)
-        result = F.when(m.rlike(start), new).otherwise(result)
-    return result
+    """Dates that can be read in one way are permuted by their day, alike in every form with points or the year first.
+    With slashes, a date that can be read both ways becomes another such, whichever was meant, and one that can
+    be read in one way another that can only be read so: results say which class they came from, so no two dates meet."""
+    first, (a, b) = F.to_date(F.lit("1900-01-01")), DAY_HALVES
+    form = F.lit(None).cast("string")
+    for start, name in DATE_FORMS.items():
+        form = F.when(m.rlike(start), F.lit(name)).otherwise(form)
+    pair = lambda d: F.struct(F.floor(d / b).alias("l"), (d % b).alias("r"))
+    number = lambda x: x["l"] * b + x["r"]
+    moved = lambda d: walk(pair(d), lambda x: feistel(x["l"], x["r"], _lit(a), _lit(b), key, "date"), lambda x: number(x) < DAYS)
+    day = lambda f: F.datediff(F.try_to_timestamp(m, f).cast("date"), first).cast("long")
+    other = let(form, lambda f: let(day(f), lambda d: F.when(
+        d.between(0, DAYS - 1), F.call_function("date_format", let(moved(d), lambda x: F.date_add(first, number(x).cast("int"))), f)).otherwise(m)))
+    part = lambda at, n: F.substring(m, at, n).cast("long")
+    slashed = m.rlike("^[0-9]{2}/[0-9]{2}/")
+    pieces = F.when(slashed, F.struct(part(1, 2).alias("x"), part(4, 2).alias("y"), (part(7, 4) - 1900).alias("year")))
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    written = lambda x, y, year: F.concat(two(x), F.lit("/"), two(y), F.lit("/"), (year + 1900).cast("string"))
+
+    def either(p: Column) -> Column:
+        out = feistel((p["x"] - 1) * 12 + p["y"] - 1, p["year"], _lit(144), _lit(200), key, "date either way")
+        return let(out, lambda o: written(F.floor(o["l"] / 12) + 1, o["l"] % 12 + 1, o["r"]))
+
+    def there(o: Column) -> Column:
+        """Whether a month has the day (13 to 31) that a pair stands for."""
+        day, month, year = F.floor(o["l"] / 12) + 13, o["l"] % 12 + 1, o["r"] + 1900
+        leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+        return day <= F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+
+    def one_way(p: Column) -> Column:
+        day_first = p["x"] > 12
+        day, month = F.greatest(p["x"], p["y"]), F.least(p["x"], p["y"])
+        begin = F.struct(((day - 13) * 12 + month - 1).alias("l"), p["year"].alias("r"))
+        out = walk(begin, lambda o: feistel(o["l"], o["r"], _lit(228), _lit(200), key, "date one way"), there)
+        told = lambda o: (F.floor(o["l"] / 12) + 13, o["l"] % 12 + 1)
+        moved = let(out, lambda o: F.when(day_first, written(*told(o), o["r"])).otherwise(written(*reversed(told(o)), o["r"])))
+        return F.when(month.between(1, 12) & day.between(13, 31) & there(begin), moved).otherwise(m)
+
+    both = lambda p: p["x"].between(1, 12) & p["y"].between(1, 12)
+    return F.when(slashed, let(pieces, lambda p: F.when(both(p), either(p)).otherwise(one_way(p)))).otherwise(other)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -252,16 +291,20 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     come through; a column n_pseudonyms is replaced. Rows stay where they are. An empty table gives an empty result.
     """
     everything = pattern()
+    own = "_found"
+    while own in docs.columns:
+        own += "_"
     text = F.col("text")
     found = F.regexp_extract_all(text, F.lit(everything), F.lit(0))
     gaps = F.split(text, everything, -1)
     # texts with neither digits nor @ hold nothing to replace
-    marked = docs.withColumn("_old", F.when(text.rlike("[0-9@]"), found).otherwise(F.array().cast("array<string>")))
-    new = marked.withColumn("_new", F.transform("_old", lambda m: pseudonym(m, key)))
+    old = F.when(text.rlike("[0-9@]"), found).otherwise(F.array().cast("array<string>"))
+    marked = docs.withColumn(own, F.transform(old, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new"))))
+    there, new = F.size(own) > 0, F.col(own)["new"]
     whole = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(
-        F.sequence(F.lit(1), F.size("_new")), lambda i: F.concat(F.element_at("_new", i), F.element_at(gaps, i + 1))), ""))
-    changed = F.size(F.filter(F.zip_with("_old", "_new", lambda a, b: a != b), lambda x: x))
+        F.sequence(F.lit(1), F.size(own)), lambda i: F.concat(F.element_at(new, i), F.element_at(gaps, i + 1))), ""))
+    changed = F.size(F.filter(own, lambda x: x["old"] != x["new"]))
     return (
-        new.withColumn("n_pseudonyms", F.coalesce(F.when(F.size("_old") > 0, changed), F.lit(0)).cast("int"))
-        .withColumn("text", F.when(F.size("_old") > 0, whole).otherwise(text)).drop("_old", "_new")
+        marked.withColumn("n_pseudonyms", F.coalesce(F.when(there, changed), F.lit(0)).cast("int"))
+        .withColumn("text", F.when(there, whole).otherwise(text)).drop(own)
     )
