@@ -21,6 +21,8 @@ HEADLINE = (
     "ema_day_carry", "ema_chunked", "rsi6", "macd", "pattern_hammer", "pattern_engulfing",
     "pattern_engulfing_day", "pattern_stars", "bounded_engulfing", "csv_ingest",
     "encode_trade_messages", "stream_bars",
+    # these cross the borders of chunks
+    "ema_minutes", "day_carry_minutes", "rsi_minutes", "macd_minutes",
 )
 
 
