@@ -21,6 +21,7 @@ from candlemill.schemas import STREAM_BAR, STREAM_PATTERN, TRADE, TRADE_MESSAGE
 from candlemill.session import fresh_path, prepare, stage
 from candlemill.sinks import (
     encode_alerts,
+    encode_end_marks,
     encode_trades,
     rejected_trades,
     replace_table,
@@ -35,6 +36,7 @@ from candlemill.sources.streams import parse_messages, read_bars_stream, read_pa
 from candlemill.sources.testdata import trades_from_events, trades_from_orders
 from candlemill.streaming import (
     bounded_pattern_job,
+    start_keyed_job,
     start_pattern_job,
     state_partitions,
     stream_klines,
@@ -93,17 +95,22 @@ def text_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def message_folder(spark: SparkSession, folder: str) -> str:
-    """The events as trade messages, one JSON text per line."""
-    path = fresh_path(spark, "messages")
-    trades = events(spark, folder).select(
+def trade_messages(trades: DataFrame) -> DataFrame:
+    """Events as trade messages, in ``value``."""
+    text = trades.select(
         *[F.col(c).cast("string").alias(c) for c in ("agg_trade_id", "price", "quantity")],
         F.lit("0").alias("first_trade_id"), F.lit("0").alias("last_trade_id"),
         F.col("timestamp").cast("string").alias("timestamp"),
         F.col("is_buyer_maker").cast("string").alias("is_buyer_maker"),
         F.lit("true").alias("is_best_match"), "symbol",
     )
-    encode_trades(trades, ALL_EVENT_PARTITIONS).select("value").write.text(path)
+    return encode_trades(text, ALL_EVENT_PARTITIONS).select("value")
+
+
+def message_folder(spark: SparkSession, folder: str) -> str:
+    """The events as trade messages, one JSON text per line."""
+    path = fresh_path(spark, "messages")
+    trade_messages(events(spark, folder)).write.text(path)
     return path
 
 
@@ -578,6 +585,35 @@ def stream_slow_symbol(spark, folder):
     return spark.read.parquet(f"{root}/rows")
 
 
+def _keyed_job(spark: SparkSession, folder: str, first, marks: bool) -> str:
+    """The keyed job in two runs: over the events for which ``first`` holds, then, from the same checkpoint, over the others."""
+    trades, root = events(prepare(spark), folder), fresh_path(spark, "keyed")
+    ends = trades.groupBy("symbol").agg(F.expr(f"(max(timestamp) div {HOUR * 1_000_000} + 1) * {HOUR * 1_000_000}").alias("ts_int"))
+    for number, part in enumerate((trades.where(first), trades.where(~first))):
+        messages = trade_messages(part)
+        if marks and number:
+            messages = messages.union(encode_end_marks(ends).select("value"))
+        messages.write.mode("append").text(f"{root}/in")
+        start_keyed_job(
+            read_trades_stream(spark, f"{root}/in", "json"), f"{root}/bars", f"{root}/late", f"{root}/ck", HOUR,
+            once=True, parallelism=_slots(spark),
+        ).awaitTermination()
+    return root
+
+
+def stream_keyed_bars(spark, folder):
+    """One stream, in which one symbol comes half a month behind the others, and end marks last: every window closes."""
+    middle = 1_705_363_200_000_000  # 2024-01-16
+    root = _keyed_job(spark, folder, (F.col("symbol") != "signup") | (F.col("timestamp") < middle), marks=True)
+    return spark.read.parquet(f"{root}/bars").select(*STREAM_BAR.names)
+
+
+def stream_late_trades(spark, folder):
+    """Every tenth trade comes after all others: those whose window their symbol had closed by then."""
+    root = _keyed_job(spark, folder, F.col("agg_trade_id") % 10 != 0, marks=False)
+    return spark.read.parquet(f"{root}/late").drop("created_at", "batch_id")
+
+
 def _run_pattern_job(spark, folder) -> str:
     trades = read_trades_stream(spark, message_folder(prepare(spark), folder), "json")
     out = fresh_path(spark, "stream-patterns")
@@ -654,7 +690,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         macd_minutes, engulfing_minutes, stars_minutes, flat_trend_minutes, pattern_hammer, pattern_engulfing,
         pattern_engulfing_raw, pattern_engulfing_day, pattern_stars, only_patterns, plot_bars,
         plot_sma, chart_series, csv_ingest, zip_ingest, landing_read, upsert_rows, day_jobs,
-        stream_slow_symbol, encode_trade_messages, rejected_trade_counts, encode_alert_messages, bounded_engulfing, stream_bars,
+        stream_slow_symbol, stream_keyed_bars, stream_late_trades, encode_trade_messages, rejected_trade_counts, encode_alert_messages, bounded_engulfing, stream_bars,
         stream_engulfing, stream_alerts, stream_copy, stream_trade_files, stream_stored_bars,
         stream_read_alerts, ingest_profile, shown_prices, land_days, land_month, table_modes, sink_days,
     )

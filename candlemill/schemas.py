@@ -32,3 +32,13 @@ STREAM_PATTERN = T.StructType(
     STREAM_BAR.fields
     + _struct("ema7 double, ema20 double, trend string, engulfing_pattern string").fields
 )
+# What a symbol keeps of a window that is open, and what it gives out: closed bars and late trades.
+OPEN_WINDOW = _struct(
+    "start long, first_time long, first_id long, open_price double, last_time long, last_id long, close_price double, "
+    "high_price double, low_price double, volume double, trades long"
+)
+KEYED_ROW = _struct(
+    "kind string, symbol string, start long, open_price double, high_price double, low_price double, "
+    "close_price double, volume double, trades long, agg_trade_id long, price double, quantity double, "
+    "ts_int long, closed_until long, reason string"
+)

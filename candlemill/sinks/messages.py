@@ -47,6 +47,15 @@ def rejected_trades(text_trades: DataFrame, symbol_partition: dict[str, int]) ->
     return rows.select(*text_trades.columns, F.col("_reason").alias("reason"))
 
 
+def encode_end_marks(ends: DataFrame) -> DataFrame:
+    """``key`` and ``value`` of messages that say: of this ``symbol`` nothing before ``ts_int`` follows any more.
+
+    They are trade messages with no more than those two fields, sent the way of the symbol's trades.
+    """
+    fields = [F.col(f.name) if f.name in ("symbol", "ts_int") else F.lit(None).cast(f.dataType).alias(f.name) for f in TRADE_MESSAGE.fields]
+    return ends.select(F.col("symbol").alias("key"), F.to_json(F.struct(*fields), MESSAGE_OPTIONS).alias("value"))
+
+
 def encode_alerts(patterns: DataFrame, keyed: bool = True) -> DataFrame:
     """Pattern rows as messages: nulls are spelled out, times are ISO-8601 in UTC."""
     value = F.to_json(F.struct(*patterns.columns), MESSAGE_OPTIONS).alias("value")

@@ -412,6 +412,14 @@ FROM z WHERE window_end <= (
   SELECT make_timestamp(min(m)) FROM (
     SELECT (max("timestamp") // 1000) * 1000 - 5000000 AS m FROM t GROUP BY symbol))"""
 
+ORACLES["stream_keyed_bars"] = f"""{STREAM_X}
+SELECT window_start, window_end, symbol, landing_date, open_price, high_price, low_price, close_price, volume FROM z"""
+ORACLES["stream_late_trades"] = f"""WITH {TRADES},
+m AS (SELECT symbol, max("timestamp") // 1000 * 1000 - 5000000 AS until FROM t WHERE agg_trade_id % 10 <> 0 GROUP BY symbol)
+SELECT t.symbol, agg_trade_id, price, quantity, "timestamp" AS ts_int, make_timestamp("timestamp" // {HOUR} * {HOUR}) AS window_start,
+       make_timestamp("timestamp" // {HOUR} * {HOUR} + {HOUR}) AS window_end, make_timestamp("timestamp" // {HOUR} * {HOUR})::DATE AS landing_date,
+       make_timestamp(until) AS closed_until, 'watermark' AS reason
+FROM t JOIN m ON m.symbol = t.symbol WHERE agg_trade_id % 10 = 0 AND "timestamp" // {HOUR} * {HOUR} + {HOUR} <= until"""
 ORACLES["stream_trade_files"] = f"""WITH {TRADES}
 SELECT agg_trade_id, price, "timestamp" AS ts_int, make_timestamp("timestamp" // 1000 * 1000) AS ts, 'BTCUSDT' AS symbol FROM t"""
 ORACLES["stream_stored_bars"] = f"{STREAM_X} SELECT * FROM z"
