@@ -23,7 +23,7 @@ def end(minute, symbol="A"):
 def run(spark, folder, out, **options):
     stream = source(spark, folder)
     start_keyed_job(stream, f"{out}/bars", f"{out}/late", f"{out}/ck", once=True, parallelism=2, **options).awaitTermination()
-    bars = spark.read.schema(STREAM_BAR).parquet(f"{out}/bars").collect()
+    bars = spark.read.schema(STREAM_BAR).parquet(f"{out}/bars").select(*STREAM_BAR.names).collect()
     late = spark.read.schema(LATE).parquet(f"{out}/late").collect()
     return {(r.symbol, r.window_start): r for r in bars}, late
 
@@ -90,19 +90,22 @@ def test_a_silent_symbol_closes_and_holds_nobody_back(spark, tmp_path):
     folder, out = tmp_path / "in", tmp_path / "out"
     drop(folder, "1", [trade(1, 1, 3.0, "A"), trade(1, 1, 4.0, "B")])
     query = start_keyed_job(source(spark, folder), f"{out}/bars", f"{out}/late", f"{out}/ck", idle_s=0.5, parallelism=2)
-    try:
-        limit = time.monotonic() + 90
-        bars = {}
-        while len(bars) < 2 and time.monotonic() < limit and query.isActive:
+
+    def written(table, schema, number):
+        """Such a stream never stands still, since it looks at its timers, so this waits for rows."""
+        limit, rows = time.monotonic() + 60, []
+        while len(rows) < number and time.monotonic() < limit and query.isActive:
             time.sleep(0.5)
-            if list((tmp_path / "out" / "bars").glob("landing_date=*/*/*.parquet")):
-                bars = {r.symbol: r.close_price for r in spark.read.schema(STREAM_BAR).parquet(f"{out}/bars").collect()}
-        assert bars == {"A": 3.0, "B": 4.0}, query.exception()
+            if list((out / table).glob("landing_date=*/*/*.parquet")):
+                rows = spark.read.schema(schema).parquet(f"{out}/{table}").collect()
+        return rows
+
+    try:
+        assert {r.symbol: r.close_price for r in written("bars", STREAM_BAR, 2)} == {"A": 3.0, "B": 4.0}
         drop(folder, "2", [trade(2, 2, 5.0, "A")])
-        query.processAllAvailable()
+        late = written("late", LATE, 1)
     finally:
         query.stop()
-    late = spark.read.schema(LATE).parquet(f"{out}/late").collect()
     assert [(r.agg_trade_id, r.reason, r.closed_until) for r in late] == [(2, "idle", at(15))]
 
 
