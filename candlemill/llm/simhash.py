@@ -301,15 +301,30 @@ def _similar_forest(fp: np.ndarray, sets: list[np.ndarray], least: float) -> tup
     return a, b
 
 
+def shared_bands(found: DataFrame) -> DataFrame:
+    """fp, key, size: the fingerprints that share a band's key with others, and how many do.
+
+    Near copies share many bands, so of the keys with the same members one stays. Members are told apart by their
+    number, the smallest, the largest and 128 bits of hashes over them.
+    """
+    probes = found.select("fp", F.explode("bands").alias("key")).distinct()
+    alike = ["size", "least", "most", "one", "two"]
+    keys = probes.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("fp").alias("least"), F.max("fp").alias("most"),
+        F.bit_xor(F.xxhash64("fp")).alias("one"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("two"),
+    ).where("size > 1")
+    return probes.join(keys.groupBy(*alike).agg(F.min("key").alias("key")).select("key", "size"), "key").select("fp", "key", "size")
+
+
 def similar_links(docs: DataFrame, found: DataFrame, width: int, block: int, least: float) -> DataFrame:
     """(a, b): fingerprints of texts whose sets of longer runs are similar, enough to connect all that are connected.
 
-    Texts that share a band's key come into one coarse group by a star, which costs a row for each. Within coarse groups
-    sets are compared in full, block by block as for buckets. The sets are made again from the texts, not stored.
+    Only texts that share a band's key are compared, in full, block by block as for buckets: texts that hang together
+    through others, as those of one template do, are not. The sets are made again from the texts, not stored,
+    and only for the documents that share a key.
     """
-    probes = found.select("fp", F.explode("bands").alias("key")).distinct()
-    shared = probes.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("most")).where("a < most").select("key", "a")
-    coarse = stage(components(probes.join(shared, "key").where("fp <> a").select("a", F.col("fp").alias("b"))), "coarse")
+    shared = stage(shared_bands(found), "shared-bands")
+    ids = stage(found.join(shared.select("fp").distinct(), "fp", "left_semi").select(F.col("doc_id").alias("id")).distinct(), "sharing")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,15 +339,15 @@ def similar_links(docs: DataFrame, found: DataFrame, width: int, block: int, lea
             a, b = _similar_forest(fp, runs, least)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    members = docs.select("doc_id", "text").mapInArrow(sets, "fp long, runs binary").join(coarse, F.col("fp") == F.col("node"))
-    sizes = coarse.groupBy("root").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    some = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    blocks = F.ceil(F.col("size") / block)
     paired = (
-        members.join(sizes, "root").withColumn("own", own)
+        some.mapInArrow(sets, "fp long, runs binary").join(shared, "fp").withColumn("blocks", blocks)
+        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "runs")
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "runs")
     )
-    by = ["root", "lo", "hi"]
+    by = ["key", "lo", "hi"]
     return paired.repartition(*by).sortWithinPartitions(*by).mapInArrow(links, "a long, b long").distinct()
 
 
