@@ -139,25 +139,6 @@ def test_similar_texts_are_linked_whatever_their_distance(spark, block):
     assert kept == set(expected.values())
 
 
-def test_texts_of_one_template_meet_only_in_shared_bands(spark):
-    """Texts hang together through others here, but few of them share a band, and none is a near copy."""
-    template = prose(110, 900, 9000)
-    rows = [(i, template + " " + prose(90, 1000 + i, 9000)) for i in range(60)]
-    assert all(0.3 < five_word_similarity(rows[0][1], t) < 0.7 for _, t in rows[1:])
-    bands = [S.band_keys(S.long_runs(S.shingle_hashes(t.encode(), S.SHINGLE))) for _, t in rows]
-    together = {frozenset(i for i, b in enumerate(bands) if k in b) for k in {k for b in bands for k in b}}
-    together = {x for x in together if len(x) > 1}
-    fps = [slow_fingerprint(t) for _, t in rows]
-    assert len(set(fps)) == len(fps)
-    got = {}
-    for r in S.shared_bands(S.fingerprints(docs(spark, rows), bands=True)).collect():
-        got.setdefault(r.key, set()).add(fps.index(r.fp % 2**64) if r.fp % 2**64 in fps else fps.index(r.fp))
-    # each set of texts that share a key once, whatever the number of keys it shares
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, together))
-    found = S.near_duplicates(docs(spark, rows), similarity=0.8).collect()
-    assert all(r.component_id == r.doc_id for r in found)
-
-
 def test_empty(spark):
     assert S.near_duplicates(docs(spark, []), similarity=0.8).count() == 0
     assert S.near_duplicates(docs(spark, [])).count() == 0 and S.drop_near_duplicates(docs(spark, [])).count() == 0
