@@ -78,14 +78,15 @@ def training_time(fraction: Column, knots: Sequence[tuple[float, float]]) -> Col
 
 
 def mix_plan(sized_docs: DataFrame, targets: DataFrame, cap: int = CAP, schedules=SCHEDULES) -> DataFrame:
-    """``sized_docs`` with source_size, target, passes, taken and positions (one for each time it is taken).
+    """``sized_docs`` with source_size, target, before, passes, taken and positions (one for each time it is taken).
 
     A source is a stream of its documents in the order of a hash of their ids, over and over, at most ``cap``
     times. A document is taken in each pass in which its middle lies within the target, so what a source gives
-    differs from its target by half a document at most. Rows that tie (same id) are ordered by size.
+    differs from its target by half a document at most. Rows that tie (same id) are ordered by size. ``before`` has the
+    words of a stream that come before a document; no two documents that are taken have the same source and ``before``.
     Columns of these names in the input are replaced.
     """
-    own = ["source_rows", "source_size", "weight_class", "target", "passes", "taken", "positions"]
+    own = ["source_rows", "source_size", "weight_class", "target", "before", "passes", "taken", "positions"]
     docs = sized_docs.drop(*own).withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     few = targets.count() <= BROADCAST_SOURCES
     named = targets.withColumnRenamed("source", "_source")
@@ -96,9 +97,9 @@ def mix_plan(sized_docs: DataFrame, targets: DataFrame, cap: int = CAP, schedule
         joined.withColumn("_group", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
         .withColumn("_chunk", F.floor(spread * chunks / F.lit(1 << 32)).cast("long"))
     )
-    placed = running(stream, ["_group"], "_chunk", ["_key", "doc_id", "size"], F.col("size"), "_before")
+    placed = running(stream, ["_group"], "_chunk", ["_key", "doc_id", "size"], F.col("size"), "before")
     # twice the middle of the document in pass p, in whole words
-    middles = [F.lit(2) * (F.lit(p) * F.col("source_size") + F.col("_before")) + F.col("size") for p in range(cap)]
+    middles = [F.lit(2) * (F.lit(p) * F.col("source_size") + F.col("before")) + F.col("size") for p in range(cap)]
     inside = [(F.col("size") > 0) & (m <= F.lit(2.0) * F.col("target")) for m in middles]
     times = []
     for m in middles:
@@ -111,10 +112,21 @@ def mix_plan(sized_docs: DataFrame, targets: DataFrame, cap: int = CAP, schedule
     return (
         placed.withColumn("passes", passes).withColumn("taken", F.col("passes") * F.col("size"))
         .withColumn("positions", F.slice(F.array(*times), F.lit(1), F.col("passes")))
-        .drop("_group", "_chunk", "_key", "_before", "_source", "source_rows", "weight_class")
+        .drop("_group", "_chunk", "_key", "_source", "source_rows", "weight_class")
     )
 
 
+def in_training_order(plan: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of each document of a ``mix_plan`` as often as it is taken, and ``_position``, range-sorted by it.
+
+    Sources of one document each have only a few positions among them, so uses of one position are dealt and sorted
+    by a hash and no range is one task's work.
+    """
+    order = ["_position", "_tie"]
+    uses = plan.where("passes > 0").select(*columns, F.xxhash64("source", "before").alias("_tie"), F.explode("positions").alias("_position"))
+    return uses.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, schedules=SCHEDULES, position: str = "position") -> DataFrame:
     """The mixture to train on: the rows of ``docs``, each as often as it is taken, sorted by position.
 
@@ -124,14 +136,21 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, sched
     """
     sizes = sized(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))).drop("text")
     targets = stage(source_targets(sizes, weights, cap), "source-targets")
-    plan = mix_plan(sizes, targets, cap, schedules).where("passes > 0")
-    placed = plan.select("_row", F.explode("positions").alias("_position"))
-    return placed.repartitionByRange("_position").sortWithinPartitions("_position").select("_row.*", F.col("_position").alias(position))
+    mixture = in_training_order(mix_plan(sizes, targets, cap, schedules), "_row")
+    return mixture.select("_row.*", F.col("_position").alias(position))
 
 
 def mix_report(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, schedules=SCHEDULES) -> DataFrame:
-    """One row per document, taken or not: doc_id, size, source_size, target, taken, position (of its first use)."""
+    """One row per document, taken or not: doc_id, size, source_size, target, taken, position (of its first use).
+
+    What is taken, and where first, is read from the mixture in the order of training; its rows are those of ``mix``
+    without the texts, which nothing here needs. Documents that are not taken come from the plan.
+    """
     sizes = stage(sized(docs.select("doc_id", "source", "text")).drop("text"), "sizes")
     targets = stage(source_targets(sizes, weights, cap), "source-targets")
-    plan = mix_plan(sizes, targets, cap, schedules)
-    return plan.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 9).alias("position"))
+    plan = stage(mix_plan(sizes, targets, cap, schedules), "mix-plan")
+    shown = ["doc_id", "size", "source_size", "target"]
+    mixture = stage(in_training_order(plan, "source", "before", *shown), "mixture")
+    taken = mixture.groupBy("source", "before", *shown).agg(F.sum("size").alias("taken"), F.round(F.min("_position"), 9).alias("position"))
+    left = plan.where("passes = 0").select(*shown, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("double").alias("position"))
+    return taken.select(left.columns).unionByName(left)

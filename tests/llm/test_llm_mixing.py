@@ -1,7 +1,8 @@
 from collections import defaultdict
 
 import pytest
-from candlemill.llm.mixing import SCHEDULES, mix, mix_report, source_targets, sized, training_time
+from candlemill.llm import mixing
+from candlemill.llm.mixing import SCHEDULES, mix, mix_plan, mix_report, source_targets, sized, training_time
 from pyspark.sql import functions as F
 from text_helpers import WORD, clash, docs, odd_rows, prose
 
@@ -84,3 +85,34 @@ def test_odd_rows(spark):
     assert mix_report(docs(spark, [])).count() == 0 and mix(docs(spark, [])).count() == 0
     blank = mix_report(docs(spark, [(1, None), (2, "")])).collect()
     assert [(r.taken, r.target) for r in blank] == [(0, 0.0)] * 2
+
+
+@pytest.fixture
+def four_tasks(spark):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_report_is_read_from_the_range_sorted_mixture(spark, monkeypatch, four_tasks):
+    staged = {}
+    monkeypatch.setattr(mixing, "stage", lambda df, label, put=mixing.stage: staged.setdefault(label, put(df, label)))
+    rows = many() + many(40) + odd_rows()  # ids come again, in one source and in several
+    report = mix_report(docs(spark, rows)).collect()
+    files = [spark.read.parquet(f).collect() for f in sorted(staged["mixture"].inputFiles())]
+    uses = [r for f in files for r in f]
+    assert len([f for f in files if f]) > 1 and [r._position for r in uses] == sorted(r._position for r in uses)
+    plan = mix_plan(staged["sizes"], staged["source-targets"]).collect()
+    assert max(r.passes for r in plan) > 1 and min(r.passes for r in plan) == 0
+    assert sorted(r._position for r in uses) == sorted(p for r in plan for p in r.positions)
+    plain = [(r.doc_id, r.size, r.source_size, r.target, r.taken, round(r.positions[0], 9) if r.positions else None) for r in plan]
+    assert sorted(map(str, map(tuple, report))) == sorted(map(str, plain))
+
+
+def test_uses_of_one_position_are_dealt(spark, four_tasks):
+    out = mix(docs(spark, [(i, "one two", f"host {i}") for i in range(600)]))
+    tasks = out.groupBy(F.spark_partition_id()).count().collect()
+    assert out.select("position").distinct().count() < 10
+    assert max(r["count"] for r in tasks) < 0.3 * out.count()  # 0.33 by position alone
